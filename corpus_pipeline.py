@@ -26,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines; a document of which nothing with words is left goes."""
+    """Deletes later copies of repeated runs of lines; a document of which no words are left by that goes."""
     cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.where("n_lines > size(removed_lines) or size(removed_lines) = 0").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return cleaned.where("size(removed_lines) = 0 or text rlike '\\\\S'").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _worded(text: Column) -> Column:
-    return F.filter(_lines(text), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
+def _plain(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
 
 
 def dense_ranks(keys: DataFrame, out: str) -> DataFrame:
@@ -50,13 +50,15 @@ def dense_ranks(keys: DataFrame, out: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), pos (among its lines with words), words, r0 (rank of the line): of lines that occur twice or more."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(_worded(F.col("text"))).alias("pos", "line"))
-    words = F.size(F.split(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")), " +"))
-    rows = rows.select("doc_id", "h", "pos", words.alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
+    """doc_id, h (hash of the text), pos (place among its lines with words), place (among all its lines), words, r0 (rank of the line): of
+    lines that occur twice or more."""
+    placed = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("place"), x.alias("line"))), lambda x: _plain(x["line"]) != "")
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(placed).alias("pos", "at"))
+    rows = rows.select("doc_id", "h", "pos", "at.place", "at.line")
+    rows = rows.select("doc_id", "h", "pos", "place", F.size(F.split(_plain(F.col("line")), " +")).alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
     often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     ranks = dense_ranks(often, "r0")
-    return rows.join(small(ranks, 100_000), ["a", "b"]).select("doc_id", "h", "pos", "words", "r0").dropDuplicates(["doc_id", "h", "pos"])
+    return rows.join(small(ranks, 100_000), ["a", "b"]).select("doc_id", "h", "pos", "place", "words", "r0").dropDuplicates(["doc_id", "h", "pos"])
 
 
 def doubled(positions: DataFrame, j: int) -> DataFrame:
@@ -81,7 +83,7 @@ def _stretches(a: Column, i: Column, n: Column, min_words: int) -> Column:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, h, removed (sorted places of deleted lines among the lines with words). docs: doc_id, text."""
+    """doc_id, h, removed (sorted places of deleted lines). docs: doc_id, text."""
     positions = written(repeated_lines(docs), "positions")
     most = max(1, min_words)
     levels = 0
@@ -93,25 +95,26 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     by = Window.partitionBy("doc_id", "h").orderBy("pos")
     ranks = [f"r{j}" for j in range(levels + 1)]
     summed = positions.withColumn("sum", F.sum("words").over(by))
-    whole = summed.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "words", "sum", F.array(*ranks).alias("r")))).alias("a"))
+    whole = summed.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "place", "words", "sum", F.array(*ranks).alias("r")))).alias("a"))
     whole = whole.withColumn("n", F.size("a"))
     runs = whole.select("doc_id", "h", "a", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _stretches(F.col("a"), i, F.col("n"), min_words))))).alias("run"))
     runs = runs.where("run.s is not null and run.e is not null").withColumn("n", F.col("run.e") - F.col("run.s") + 1)
     j = F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("int")
     rank = lambda place, level: F.get(F.get("a", place)["r"], level)
-    runs = runs.select("doc_id", "h", "n", F.get("a", F.col("run.s"))["pos"].alias("pos"), rank(F.col("run.s"), j).alias("x"), rank(F.col("run.e") - F.pow(F.lit(2.0), j).cast("int") + 1, j).alias("y"))
+    places = F.transform(F.slice("a", F.col("run.s") + 1, F.col("n")), lambda x: x["place"])
+    runs = runs.select("doc_id", "h", "n", places.alias("places"), F.get("a", F.col("run.s"))["pos"].alias("pos"), rank(F.col("run.s"), j).alias("x"), rank(F.col("run.e") - F.pow(F.lit(2.0), j).cast("int") + 1, j).alias("y"))
     runs = written(runs, "runs")
     where = F.struct("doc_id", "h", "pos")
     first = runs.groupBy("n", "x", "y").agg(F.min(where).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     later = runs.join(first, ["n", "x", "y"]).where(where != F.col("first"))
-    gone = later.select("doc_id", "h", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("line")).distinct()
+    gone = later.select("doc_id", "h", F.explode("places").alias("line")).distinct()
     out = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
     drop(positions, runs)
     return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text cleaned, and with n_lines (lines with words), removed_lines (array of their places, from 0) and removed_chars.
+    """docs with text cleaned, and with n_lines, removed_lines (array of the places of deleted lines, from 0) and removed_chars.
 
     A line is deleted if it is in a run of whole lines with at least min_words words in all that also stands earlier: in a document of a
     smaller id, or further up in the same one. Its line break goes with it. Nothing else changes; a document of which nothing is left
@@ -125,12 +128,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     gone = small(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("removed_lines")), 100_000)
     key = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_h"))
     text = F.col(text_col).cast("string")
-    joined = docs.join(gone, key, "left").drop("_id", "_h").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-    blank = lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == ""
-    places = F.filter(F.transform(_lines(text), lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("_drop", F.when(F.size("removed_lines") > 0, F.transform("removed_lines", lambda k: F.get(places, k))))
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    new = F.when(F.size("removed_lines") > 0, kept).otherwise(text)
-    out = joined.withColumn("_new", new).withColumn("n_lines", F.coalesce(F.size(_worded(text)), F.lit(0)))
+    joined = docs.join(gone, key, "left").drop("_id", "_h")
+    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
+    out = joined.withColumn("_new", F.when(F.col("removed_lines").isNotNull(), kept).otherwise(text))
     removed = F.coalesce(F.char_length(text) - F.char_length("_new"), F.lit(0))
-    return out.withColumn("removed_chars", removed).withColumn(text_col, F.col("_new")).drop("_drop", "_new")
+    out = out.withColumn("n_lines", F.coalesce(F.size(_lines(text)), F.lit(0))).withColumn("removed_chars", removed)
+    return out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))).withColumn(text_col, F.col("_new")).drop("_new")
