@@ -149,15 +149,19 @@ def assemble(records: DataFrame) -> DataFrame:
     Requests and metadata are joined through their concurrent-to identifier. A revisit has the payload facts of the response that it refers
     to, and null ones if that isn't there. Records that repeat a record id count once; records that concern no capture are left out.
     """
-    named = records.where("record_id is not null")
-    about = lambda kind: named.where(F.col("record_type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(F.col("record_id").alias("id"), "target_uri", "date", "fields")).alias(kind))
-    single = named.dropDuplicates(["record_id"])
-    response = single.where("record_type = 'response'").select("record_id", "record_type", "target_uri", F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", "payload")
-    revisit = single.where("record_type = 'revisit'").select("record_id", "record_type", "target_uri", "refers_to")
-    captures = response.unionByName(revisit, allowMissingColumns=True)
-    page = F.regexp_extract(F.col("metadata.fields"), r"page-id: (-?\d+)", 1)
-    full = captures.join(about("request"), "record_id", "left").join(about("metadata"), "record_id", "left").withColumn("page_id", F.when(page != "", page.cast("long")))
-    source = full.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page_id"), F.struct("payload_bytes", "payload_digest", "payload").alias("source"))
-    out = full.join(source, "refers_to", "left")
-    fact = lambda c: F.coalesce(F.col(c), F.col(f"source.{c}")).alias(c)
-    return out.select("record_id", "record_type", "target_uri", "page_id", "refers_to_page_id", fact("payload_bytes"), fact("payload_digest"), fact("payload"), "request", "metadata")
+    kind = F.col("record_type")
+    capture = F.struct("record_id", "record_type", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload")
+    side = F.struct(F.col("record_id").alias("id"), "target_uri", "date", "fields")
+    transaction = F.when(kind.isin("request", "metadata"), F.col("concurrent_to")).otherwise(F.col("record_id")).alias("transaction")
+    joined = records.where(transaction.isNotNull()).groupBy(transaction).agg(
+        F.max(F.when(kind.isin("response", "revisit"), capture)).alias("c"), F.min(F.when(kind == "request", side)).alias("request"), F.min(F.when(kind == "metadata", side)).alias("metadata")
+    )
+    number = F.regexp_extract(F.col("metadata.fields"), r"page-id: (-?\d+)", 1)
+    full = joined.where("c is not null").select("c.*", F.when(number != "", number.cast("long")).alias("page_id"), "request", "metadata")
+    responses = full.where("record_type = 'response'")
+    facts = ("payload_bytes", "payload_digest", "payload")
+    out = ["record_id", "record_type", "target_uri", "page_id", "refers_to_page_id", *facts, "request", "metadata"]
+    # only revisits are joined: responses refer to nothing, and would all meet at one key
+    source = responses.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page_id"), *facts)
+    again = full.where("record_type = 'revisit'").drop(*facts).join(source, "refers_to", "left")
+    return responses.withColumn("refers_to_page_id", F.lit(None).cast("long")).select(*out).unionByName(again.select(*out))
