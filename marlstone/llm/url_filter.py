@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, written
+
 #: (action, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DIMENSIONS = 2048
@@ -53,22 +55,21 @@ def train(labelled: DataFrame) -> list[float]:
 
     Without rows all weights are 0; a url that is null counts as empty.
     """
-    spark = labelled.sparkSession
     once = labelled.select("url", F.col("blocked").cast("double").alias("y")).groupBy("url").agg(F.max("y").alias("y")).orderBy(F.xxhash64("url"), "url").limit(TRAINING_ROWS)
     url = F.col("url")
-    rows = once.select("y", features(host_of(url), path_of(url)).alias("x")).collect()
+    cells = written(once.select("y", features(host_of(url), path_of(url)).alias("x")).coalesce(1), "labelled")
     weights = [0.0] * (DIMENSIONS + 1)
+    rows = cells.count()
     if not rows:
         return weights
-    table = spark.createDataFrame(rows, "y double, x array<int>").coalesce(1)
-    cells = table.select("y", "x")
     for _ in range(ROUNDS):
         error = F.try_divide(F.lit(1.0), F.lit(1.0) + F.exp(-margin(F.col("x"), weights))) - F.col("y")
         gradient = cells.select(error.alias("e"), F.explode(F.concat(F.array(F.lit(-1)), F.col("x"))).alias("i")).groupBy("i").agg(F.sum("e").alias("g")).collect()
-        step = RATE / len(rows)
+        step = RATE / rows
         weights = [w * (1 - DECAY) for w in weights]
         for i, g in gradient:
             weights[i + 1] -= step * g
+    drop(cells)
     return weights
 
 
