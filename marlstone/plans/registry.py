@@ -1,4 +1,9 @@
 """The registered queries and their DuckDB twins."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from . import factor_queries, market_queries
+
+QUERIES = {**factor_queries.QUERIES, **market_queries.QUERIES}
+ORACLES = {**factor_queries.ORACLES, **market_queries.ORACLES}
+flagship = market_queries.flagship
