@@ -6,11 +6,28 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.classic.window import WindowSpec
 from pyspark.sql.window import Window
 
 EPS = 1e-12
-SERIES = Window.partitionBy("symbol").orderBy("dt")
-DATE = Window.partitionBy("dt")
+
+
+class LazySpec(WindowSpec):
+    """A window that is made when it is used, so that modules can be imported before there is a session."""
+
+    def __new__(cls, make):
+        return object.__new__(cls)
+
+    def __init__(self, make):
+        self._make = make
+
+    @property
+    def _jspec(self):
+        return self._make()._jspec
+
+
+SERIES = LazySpec(lambda: Window.partitionBy("symbol").orderBy("dt"))
+DATE = LazySpec(lambda: Window.partitionBy("dt"))
 
 
 def frame(n: int):

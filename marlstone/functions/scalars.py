@@ -59,7 +59,7 @@ def sentiment(text: Column) -> Column:
     """Mean polarity of an English text over SCALE, in [-1, 1]; 0 without known words."""
     hits = english_hits(F.coalesce(text, F.lit("")))
     mean = divide(F.aggregate(hits, F.lit(0.0), lambda s, x: s + x), F.size(hits).cast("double"))
-    return F.coalesce(F.least(F.greatest(mean / SCALE, F.lit(-1.0)), F.lit(1.0)), F.lit(0.0))
+    return F.coalesce(clip(mean / SCALE), F.lit(0.0))
 
 
 def with_bilingual_sentiment(df: DataFrame, text: str, out: str = "sentiment") -> DataFrame:
@@ -99,7 +99,7 @@ def time_weighted(df: DataFrame, score: str, age_hours: str, half_life: float =
 
 
 def clip(x: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))  # least and greatest skip nulls
 
 
 def blend(parts: dict[str, Column], weights: dict[str, float]) -> Column:

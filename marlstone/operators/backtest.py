@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.kernels import SERIES, divide
+from marlstone.functions.kernels import SERIES, LazySpec, divide
 
 from . import metrics
 
 COMMISSION_BPS = SLIPPAGE_BPS = 1.0
 IMPACT_BPS, CAPITAL = 10.0, 1e6
-_SO_FAR = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+_SO_FAR = LazySpec(lambda: SERIES.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def backtest(bars: DataFrame, signal: str = "signal", lag: int = 1, commission: float = COMMISSION_BPS, slippage: float = SLIPPAGE_BPS, impact: bool = False, capital: float = CAPITAL) -> DataFrame:

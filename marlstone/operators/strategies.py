@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.kernels import SERIES, divide, frame, full
+from marlstone.functions.kernels import SERIES, LazySpec, divide, frame, full
 
 from . import indicators as I
 
-_HELD = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+_HELD = LazySpec(lambda: SERIES.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def positions(entry: Column, leave: Column, value: float = 1.0) -> Column:

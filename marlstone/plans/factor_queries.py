@@ -43,7 +43,7 @@ def formulas(wanted: dict[str, str], digits: int = 6, group=None):
     def run(spark, sf_dir):
         panel = B.line_bars(spark, sf_dir)
         if group is not None:
-            panel = panel.withColumn("grp", group)
+            panel = panel.withColumn("grp", F.substring("symbol", 1, group))
         c = dsl.Compiler("grp" if group is not None else None)
         values = {n: c.add(f)[0] for n, f in wanted.items()}
         return c.apply(panel).select("symbol", "dt", *((F.round(v + twins.NUDGE, digits) + F.lit(0.0)).alias(n) for n, v in values.items()))
@@ -54,7 +54,7 @@ def formulas(wanted: dict[str, str], digits: int = 6, group=None):
 for _name, (_period, _by) in {"bars_w": ("week", "p_brand"), "bars_d": ("day", "p_brand"), "bars_m": ("month", "l_suppkey")}.items():
     QUERIES[_name], ORACLES[_name] = bars(_period, _by), bars_oracle(_period, _by)
 for _name, _text in EXAMPLES.items():
-    _group = F.substring("symbol", 1, 7) if _name.startswith("group") else None
+    _group = 7 if _name.startswith("group") else None  # a brand's first digit
     QUERIES[f"dsl_{_name}"] = formulas({"value": _text}, group=_group)
     ORACLES[f"dsl_{_name}"] = twins.Twin("grp").sql({"value": _text}, group="substr(symbol, 1, 7)" if _group is not None else None)
 # these two rank numbers that are equal up to noise (a correlation of two points; differences of logarithms): engines order them differently

@@ -363,7 +363,7 @@ def _sentiment_sql() -> str:
     return f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
 e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, w FROM w), m AS (SELECT {table} AS t),
 h AS (SELECT doc_id, CASE WHEN len(list_intersect(list_slice(w, greatest(i - 3, 1), i - 1), {negators})) > 0 AND i > 1 THEN -t[x] ELSE t[x] END AS v FROM e, m WHERE t[x] IS NOT NULL),
-g AS (SELECT doc_id, avg(v) AS a FROM h GROUP BY doc_id) SELECT d.doc_id, round(coalesce(least(greatest(a / 1.6, -1.0), 1.0), 0.0)::DOUBLE, 6) AS sentiment FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
+g AS (SELECT doc_id, avg(v) AS a FROM h GROUP BY doc_id) SELECT d.doc_id, round(least(greatest(coalesce(a, 0.0) / 1.6, -1.0), 1.0)::DOUBLE, 6) AS sentiment FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
 add("headline_sentiment", lambda s, d: B.table(s, d, "documents").select("doc_id", F.round(S.sentiment(F.col("text")), 6).alias("sentiment")), _sentiment_sql())
