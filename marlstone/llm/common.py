@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -66,12 +65,6 @@ def drop(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM finds their plans unused."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows; larger ones are left to a shuffled join. df is counted: pass a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop, mix64, release, small, utf8_view, written
+from .common import drop, mix64, small, utf8_view, written
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -181,14 +181,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     alone = prep.where("code is not null and doc_id is not null").join(small(copies), ["doc_id", "d1", "d2"], "left_anti")
     rows = alone.select("doc_id", "code", "spare", F.explode("sigs").alias("sig"))
-    often = written(rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    release(docs.sparkSession)  # else the shuffles of both passes over the signatures are on disk at once
+    often = rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
     by = Window.partitionBy("doc_id", "code")
     shared = rows.join(often, "sig").withColumn("m", F.count("*").over(by)).withColumn("weight", F.sum("often").over(by))
     shared = shared.withColumn("r", F.row_number().over(by.orderBy("often", "sig"))).where("r <= m - spare")
     buckets = written(shared.select("sig", "doc_id", "weight"), "buckets")
-    drop(copies, often)
-    release(docs.sparkSession)
+    drop(copies)
 
     star = buckets.groupBy("sig").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"))).alias("top"), F.count("*").alias("m")).where("m > 1").select("sig", (-F.col("top.less")).alias("pivot"))
     pairs = written(buckets.join(star, "sig").where("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
