@@ -34,7 +34,7 @@ def size_classes(most: int, num: int, den: int) -> list[tuple[int, int, int, int
     while at <= most:
         to = max(at + 1, -(-at * 3 // 2))
         d = (to - 1) * (den - num) // num
-        h = max(1, (d + 1) // 4)
+        h = max(1, (d + 1) // 8)
         out.append((at, to - 1, d + 1 + h if d else 0, h))
         at = to
     return out
