@@ -8,8 +8,9 @@ For the pairs that meet, the overlap is counted fragment by fragment and summed
 
 Sets that are equal are one vertex. Within a bucket, all members are first held against the pivot, the member with the most company. Two
 members that this leaves in different components can only link if what sets them apart from the pivot overlaps, which a second prefix
-filter finds. So groups of near copies cost a row for each member, not for each pair, and no link between different components is missed:
-components are exact. (Hashes of 64 bits stand for n-grams.)
+filter finds. Of the pairs that it lets through, those go whose parity bitmaps differ in more bits than linked sets differ in n-grams: each
+n-gram flips one bit, so that two sets' bitmaps differ at most in as many bits as the sets in n-grams. So groups of near copies cost a row for
+each member, not for each pair, and no link between different components is missed: components are exact. (Hashes of 64 bits stand for n-grams.)
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .shingles import shingle_sets
 
 SEEDS = 4
 FRAGMENTS = 16
+#: Parity bitmaps have so many longs; they tell most in sets of up to about twice as many n-grams as bits.
+BITS = 4
 
 
 def size_classes(most: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
@@ -73,7 +76,10 @@ _PREP = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
     + [T.StructField("code", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("sigs", T.ArrayType(T.LongType(), False))]
 )
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.LongType(), False), False))])
+_SETS = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.LongType(), False), False))]
+    + [T.StructField(f"b{i}", T.LongType()) for i in range(BITS)]
+)
 
 
 def _prepare(n: int, num: int, den: int):
@@ -113,23 +119,26 @@ def _sets(n: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sizes, flat, at = [], [], [0]
+                sizes, flat, at, bits = [], [], [0], []
                 for x in shingle_sets(*utf8_view(part.column(1)), n):
                     sizes.append(len(x))
                     flat.append(x)
+                    odd = np.bincount((x & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     at += (at[-1] + np.append(np.searchsorted(x, cuts), len(x))).tolist()
                 values = pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))
                 inner = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
                 outer = pa.ListArray.from_arrays(pa.array(range(0, len(at), FRAGMENTS), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), outer], names=_SETS.names)
+                flags = np.array(bits, np.int64).reshape(-1, BITS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), outer] + [pa.array(flags[:, i]) for i in range(BITS)], names=_SETS.names)
 
     return run
 
 
 def _judged(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v) with sizes n_u and n_v, differing: in how many n-grams the sets differ, from the partial overlaps of each fragment,
-    linked, and head: the n-grams that differ, those that only u has before those that only v has, as many as a prefix filter needs."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("parts").alias("p_u"))
+    linked, head: the n-grams that differ, those that only u has before those that only v has, as many as a prefix filter needs, and u's bitmap."""
+    a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("parts").alias("p_u"), *(f"b{i}" for i in range(BITS)))
     b = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("parts").alias("p_v"))
     partial = F.zip_with("p_u", "p_v", lambda x, y: F.size(F.array_intersect(x, y)))
     overlap = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
@@ -141,6 +150,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         (F.col("n_u") + F.col("n_v") - 2 * F.col("overlap")).alias("differing"),
         ((den + num) * F.col("overlap") >= num * (F.col("n_u") + F.col("n_v"))).alias("linked"),
         F.slice(F.concat(only("p_u", "p_v"), only("p_v", "p_u")), 1, need).alias("head"),
+        *(f"b{i}" for i in range(BITS)),
     )
 
 
@@ -148,17 +158,20 @@ def _between_members(judged: DataFrame, found: DataFrame, num: int, den: int) ->
     """Pairs of members of a pivot's bucket that are in different components and may link.
 
     Members u1, u2 of pivot v differ in |d1| + |d2| - 2 |d1 & d2| n-grams, where d is what each differs in from v. If one of them isn't linked
-    to v, a link between them needs a common n-gram in d1 and d2, and enough of them: a prefix filter with positions on these short lists.
+    to v, a link between them needs a common n-gram in d1 and d2, and enough of them: a prefix filter with positions on these short lists. The bitmaps, compared as the lists are joined, then leave few pairs that are not links.
     """
     node = lambda c, out: found.select(F.col("node").alias(c), F.col("component").alias(out))
     of = judged.join(node("u", "cu"), "u", "left").join(node("v", "cv"), "v", "left").withColumn("cu", F.coalesce("cu", "u")).withColumn("cv", F.coalesce("cv", "v"))
     mixed = of.where("cu <> cv").select("v").distinct()
-    gram = of.join(mixed, "v", "left_semi").select("v", "u", "cu", "n_u", "differing", F.posexplode("head").alias("at", "gram"))
-    x = gram.select("v", "gram", F.col("u").alias("u1"), F.col("cu").alias("c1"), F.col("n_u").alias("n1"), F.col("differing").alias("d1"), F.col("at").alias("i1"))
-    y = gram.select("v", "gram", F.col("u").alias("u2"), F.col("cu").alias("c2"), F.col("n_u").alias("n2"), F.col("differing").alias("d2"), F.col("at").alias("i2"))
-    sizes = f"n1 * {num} <= n2 * {den} and n2 * {num} <= n1 * {den}"
-    room = f"2 * least(d1 - i1, d2 - i2) >= d1 + d2 - floor((n1 + n2) * {den - num} / {den + num})"
-    return x.join(y, ["v", "gram"]).where(f"u1 < u2 and c1 <> c2 and {sizes} and {room}").select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct()
+    names = ["u", "cu", "n_u", "differing", "at", *(f"b{i}" for i in range(BITS))]
+    gram = of.join(mixed, "v", "left_semi").select("*", F.posexplode("head").alias("at", "gram"))
+    side = lambda i: gram.select("v", "gram", *(F.col(c).alias(f"{c}_{i}") for c in names))
+    most = f"floor((n_u_1 + n_u_2) * {den - num} / {den + num})"
+    sizes = f"n_u_1 * {num} <= n_u_2 * {den} and n_u_2 * {num} <= n_u_1 * {den}"
+    room = f"2 * least(differing_1 - at_1, differing_2 - at_2) >= differing_1 + differing_2 - {most}"
+    flipped = " + ".join(f"bit_count(b{i}_1 ^ b{i}_2)" for i in range(BITS))
+    found = side(1).join(side(2), ["v", "gram"]).where(f"u_1 < u_2 and cu_1 <> cu_2 and {sizes} and {room} and {flipped} <= {most}")
+    return found.select(F.col("u_1").alias("u"), F.col("u_2").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,6 +60,42 @@ def test_jaccard_components(spark, n, num):
     assert [got[i].component_id for i in range(len(texts))] == comps
 
 
+def test_jaccard_copies_that_differ_from_their_source_alike(spark):
+    """Copies that are not linked to their common source, of which some link to each other: pairs that only bitmaps and lists can tell."""
+    rnd = random.Random(7)
+    word = lambda: rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 99))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)] * 3
+    for _ in range(30):
+        copy = list(base)
+        for _ in range(rnd.randint(3, 9)):
+            copy[rnd.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+        for _ in range(rnd.randint(0, 2)):
+            again = list(copy)
+            for _ in range(rnd.randint(1, 4)):
+                again[rnd.randrange(len(again))] = word()
+            texts.append(" ".join(again))
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(docs(spark, texts), 5, 80, 100).collect()}
+    _, comps = brute_components(texts, 5, 80, 100)
+    assert len(set(comps)) > 5
+    assert [got[i].component_id for i in range(len(texts))] == comps
+
+
+def test_parity_bitmaps_differ_at_most_as_sets_do():
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcdef") for _ in range(rnd.choice([0, 3, 20, 200]))) for _ in range(30)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in ngram_join._sets(5)([batch]) for r in b.to_pylist()]
+    sets = [{g for part in r["parts"] for g in part} for r in rows]
+    for x, a in zip(rows, sets):
+        for y, b in zip(rows, sets):
+            flipped = sum(((x[f"b{i}"] ^ y[f"b{i}"]) & (1 << 64) - 1).bit_count() for i in range(ngram_join.BITS))
+            assert flipped <= len(a ^ b) and (flipped - len(a ^ b)) % 2 == 0
+
+
 def test_jaccard_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.jaccard_components(df, 3, 90, 100).collect())
