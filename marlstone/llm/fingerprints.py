@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is a sequence of units: runs of non-space characters in pieces of at most PIECE, or single characters if the text has at most
-SHORT. A run of K units is chosen if the least unit hash inside it stands at one of its two ends (a closed syncmer with inner length 1).
-That depends on the K units alone, so equal passages give equal anchors wherever they stand. The fingerprint is the sorted set of the
-SKETCH least anchor hashes, a bottom-k sketch of the anchors of the whole text.
+A text of any length and script is a sequence of characters. A run of K characters is chosen if the least hash of the runs of S characters
+inside it stands at one of its two ends (a closed syncmer). That depends on the K characters alone, so equal passages give equal anchors
+wherever they stand; a text of 2 K - S - 1 characters or more has at least one. The fingerprint is the sorted set of the SKETCH least anchor
+hashes, a bottom-k sketch of the anchors of the whole text.
 """
 
 from __future__ import annotations
@@ -12,22 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K = 5
-PIECE = 8
-SHORT = 256
+K = 12
+S = 4
 SKETCH = 64
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with column out: the fingerprint of column text as an array of longs. A null or blank text has an empty one."""
-    units = F.when(F.char_length(text) <= SHORT, F.split(text, "")).otherwise(F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
-    h = F.coalesce(F.transform(units, lambda u: F.xxhash64(u)), F.array().cast("array<bigint>"))
-    df = df.withColumn("_h", h)
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_c", F.split(F.coalesce(text, F.lit("")), ""))
+    inner = lambda i: F.xxhash64(*(F.get("_c", i + j) for j in range(S)))
+    df = df.withColumn("_h", F.when(F.size("_c") >= K, F.transform(F.sequence(F.lit(0), F.size("_c") - S), inner)).otherwise(none)).drop("_c")
     at = lambda i, j: F.get("_h", i + j)
-    chosen = F.filter(F.sequence(F.lit(0), F.size("_h") - K), lambda i: F.least(at(i, 0), at(i, K - 1)) <= F.least(*(at(i, j) for j in range(1, K - 1))))
-    anchors = F.transform(chosen, lambda i: F.xxhash64(*(at(i, j) for j in range(K))))
-    whole = F.when(F.size("_h") >= K, anchors).when(F.trim(F.coalesce(text, F.lit(""))) != "", F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(whole)), 1, SKETCH)).drop("_h")
+    last = K - S
+    chosen = F.filter(F.sequence(F.lit(0), F.size("_h") - 1 - last), lambda i: F.least(at(i, 0), at(i, last)) <= F.least(*(at(i, j) for j in range(1, last))))
+    anchors = F.transform(chosen, lambda i: F.xxhash64(*(at(i, j) for j in (*range(0, last, S), last))))
+    df = df.withColumn(out, F.when(F.size("_h") > 0, anchors).otherwise(none)).drop("_h")
+    whole = F.when(F.size(out) > 0, F.col(out)).when(F.trim(F.coalesce(text, F.lit(""))) != "", F.array(F.xxhash64(text))).otherwise(none)
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(whole)), 1, SKETCH))
 
 
 def likeness(a: str, b: str) -> Column:

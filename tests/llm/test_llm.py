@@ -195,6 +195,15 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(odd).count() == 2
 
 
+def test_fingerprints_of_a_text_and_a_longer_copy(spark):
+    rnd = random.Random(5)
+    short = ["".join(rnd.choice("abcdefghij   ") for _ in range(n)).strip() for n in (30, 60, 240, 250, 256) for _ in range(4)]
+    rows = [(i, t, t + " and a few more chars") for i, t in enumerate(short)]
+    df = fingerprints.with_anchors(fingerprints.with_anchors(spark.createDataFrame(rows, "i long, a string, b string"), "a", "x"), "b", "y")
+    got = {r.i: r.v for r in df.select("i", fingerprints.likeness("x", "y").alias("v")).collect()}
+    assert all(got[i] > (0.7 if len(t) > 200 else 0.1) for i, t in enumerate(short))
+
+
 def test_url_parts(spark):
     urls = ["http://A.Example.NET/en/x?q#f", "https://x.org", None, "no scheme", "http://", "s://h?p=/de/", "http://example.com/de/x", "http://notexample.com/de/", "http://a.net/q", "http://m.b.org/fr/1"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
