@@ -2,8 +2,9 @@
 
 A text of any length and script is a sequence of characters. A run of K characters is chosen if the least hash of the runs of S characters
 inside it stands at one of its two ends (a closed syncmer). That depends on the K characters alone, so equal passages give equal anchors
-wherever they stand; a text of 2 K - S - 1 characters or more has at least one. The fingerprint is the sorted set of the SKETCH least anchor
-hashes, a bottom-k sketch of the anchors of the whole text.
+wherever they stand; a text of 2 K - S - 1 characters or more has at least one. The fingerprint is all anchors in the order of their
+positions; none is left out. A text of two parts has the anchors of its parts and those across the seam, so an edited text's are put
+together from what is known of its parts.
 """
 
 from __future__ import annotations
@@ -14,33 +15,46 @@ from pyspark.sql.window import Window
 
 K = 12
 S = 4
-SKETCH = 64
+_NONE = "array<struct<at:int,anchor:bigint>>"
 
 
-def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with column out: the fingerprint of column text as an array of longs. A null or blank text has an empty one."""
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn("_c", F.split(F.coalesce(text, F.lit("")), ""))
+def _none() -> Column:
+    return F.array().cast(_NONE)
+
+
+def _syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with column out: the position and hash of each closed syncmer of column text (not null), in the order of positions."""
+    df = df.withColumn("_c", F.split(text, ""))
     inner = lambda i: F.xxhash64(*(F.get("_c", i + j) for j in range(S)))
-    df = df.withColumn("_h", F.when(F.size("_c") >= K, F.transform(F.sequence(F.lit(0), F.size("_c") - S), inner)).otherwise(none)).drop("_c")
+    df = df.withColumn("_h", F.when(F.size("_c") >= K, F.transform(F.sequence(F.lit(0), F.size("_c") - S), inner)).otherwise(F.array().cast("array<bigint>"))).drop("_c")
     at = lambda i, j: F.get("_h", i + j)
     last = K - S
     chosen = F.filter(F.sequence(F.lit(0), F.size("_h") - 1 - last), lambda i: F.least(at(i, 0), at(i, last)) <= F.least(*(at(i, j) for j in range(1, last))))
-    anchors = F.transform(chosen, lambda i: F.xxhash64(*(at(i, j) for j in (*range(0, last, S), last))))
-    df = df.withColumn(out, F.when(F.size("_h") > 0, anchors).otherwise(none)).drop("_h")
-    whole = F.when(F.size(out) > 0, F.col(out)).when(F.trim(F.coalesce(text, F.lit(""))) != "", F.array(F.xxhash64(text))).otherwise(none)
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(whole)), 1, SKETCH))
+    anchors = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.xxhash64(*(at(i, j) for j in (*range(0, last, S), last))).alias("anchor")))
+    return df.withColumn(out, F.when(F.size("_h") > 0, anchors.cast(_NONE)).otherwise(_none())).drop("_h")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard likeness of the anchor sets behind two fingerprints; 1 if both are empty."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return F.when(F.size(F.array_union(a, b)) == 0, F.lit(1.0)).otherwise(common / F.size(union))
+def _or_whole(syncmers: str, text: str) -> Column:
+    """The syncmers; of a text too short to have one, a single anchor of the whole text; none if it is blank."""
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text).alias("anchor"))).cast(_NONE)
+    return F.when(F.size(syncmers) > 0, F.col(syncmers)).when(F.trim(text) != "", whole).otherwise(_none())
+
+
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with column out: the fingerprint of column text, an array of (at, anchor). A null or blank text has an empty one."""
+    df = _syncmers(df.withColumn("_t", F.coalesce(text, F.lit(""))), "_t", "_s")
+    return df.withColumn(out, _or_whole("_s", "_t")).drop("_s", "_t")
 
 
-def as_text(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with column out: of the distinct anchors in fingerprints a and b, the share that both have and that follows the same shared anchor
+    (or none) in both, by first positions; 1 if both are empty. Copies give 1; a passage that has moved loses only its seams."""
+    df = df.withColumn("_a", F.array_distinct(f"{a}.anchor")).withColumn("_b", F.array_distinct(f"{b}.anchor"))
+    df = df.withColumn("_ab", F.array_intersect("_a", "_b")).withColumn("_ba", F.array_intersect("_b", "_a"))
+    links = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i - 1)))
+    union = F.size("_a") + F.size("_b") - F.size("_ab")
+    found = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(links("_ab"), links("_ba"))) / union)
+    return df.withColumn(out, found).drop("_a", "_b", "_ab", "_ba")
 
 
 def with_next(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -86,15 +100,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document's, in
     descending doc_id (after the last: the first; rows that share an id: descending text). A null text is empty; a null doc_id comes
-    last. Empty texts have the fingerprint ''. Extra columns are ignored. An empty table gives an empty result.
+    last. Fingerprints are arrays of (at, anchor) with positions from 0; empty and blank texts have an empty one. Extra columns are
+    ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_anchors(rows, "text", "print"), "doc_id", ["text", "print"])
+    rows = with_next(rows, "doc_id", ["text"])
     n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = with_anchors(rows.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited")), "edited", "edited_print")
-    return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("print").alias("fingerprint"), as_text("edited_print").alias("edited_fingerprint"),
-        likeness("print", "edited_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"),
+    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("half", F.floor(n / 2).cast("int")).withColumn("head", n - F.floor(n / 2).cast("int"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("head")), F.substring("next_text", F.lit(1), F.col("half"))))
+    rows = rows.withColumn("from", F.greatest(F.col("head") - (K - 1), F.lit(0)))
+    rows = rows.withColumn("seam", F.substring("edited", F.col("from") + 1, F.col("head") - F.col("from") + F.least(F.col("half"), F.lit(K - 1))))
+    for text in ("text", "next_text", "seam"):
+        rows = _syncmers(rows, text, f"{text}_s")
+    moved = lambda c, by: F.transform(c, lambda x: F.struct((x["at"] + by).alias("at"), x["anchor"].alias("anchor")))
+    parts = F.concat(
+        F.filter("text_s", lambda x: x["at"] + K <= F.col("head")),
+        moved("seam_s", F.col("from")),
+        moved(F.filter("next_text_s", lambda x: x["at"] + K <= F.col("half")), F.col("head")),
+    )
+    rows = rows.withColumn("edited_s", parts)
+    rows = rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _or_whole("text_s", "text").alias("fingerprint"), _or_whole("edited_s", "edited").alias("edited_fingerprint"),
+        _or_whole("next_text_s", "next_text").alias("next_fingerprint"),
     )
+    rows = with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
+    return with_likeness(rows, "fingerprint", "next_fingerprint", "near_next").drop("next_fingerprint")

@@ -200,10 +200,31 @@ def test_fingerprints_of_a_text_and_a_longer_copy(spark):
     short = ["".join(rnd.choice("abcdefghij   ") for _ in range(n)).strip() for n in (30, 60, 240, 250, 256) for _ in range(4)]
     rows = [(i, t, t + " and a few more chars") for i, t in enumerate(short)]
     df = fingerprints.with_anchors(fingerprints.with_anchors(spark.createDataFrame(rows, "i long, a string, b string"), "a", "x"), "b", "y")
-    got = {r.i: r.v for r in df.select("i", fingerprints.likeness("x", "y").alias("v")).collect()}
+    got = {r.i: r.v for r in fingerprints.with_likeness(df, "x", "y", "v").collect()}
     assert all(got[i] > (0.7 if len(t) > 200 else 0.1) for i, t in enumerate(short))
 
 
+def test_fingerprints_keep_all_anchors_with_positions(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    passage = " ".join(word() for _ in range(400))
+    long = [" ".join([*(word() for _ in range(1500)), passage, *(word() for _ in range(1500))]) for _ in range(2)]
+    texts = [*EDGES, "y" * 13, "漢字" * 9, passage, *long]
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        nxt = texts[i - 1] or ""
+        edited = (t or "")[: len(t or "") - len(t or "") // 2] + nxt[: len(t or "") // 2]
+        direct = fingerprints.with_anchors(spark.createDataFrame([(edited,)], "t string"), "t", "f").first().f
+        assert rows[i].edited_fingerprint == direct
+    a, b = (rows[len(texts) - k].fingerprint for k in (2, 1))
+    spots = [{x.anchor: x["at"] for x in f} for f in (a, b)]
+    shared = [x for x in spots[0] if x in spots[1]]
+    inside = [x for x in shared if long[0][spots[0][x] : spots[0][x] + fingerprints.K] in passage]
+    assert len(inside) > 300 and all(long[0][spots[0][x] : spots[0][x] + fingerprints.K] == long[1][spots[1][x] : spots[1][x] + fingerprints.K] for x in shared)
+    union = len(set(spots[0]) | set(spots[1]))
+    assert abs(rows[len(texts) - 1].near_next - len(shared) / union) < 0.01 and rows[len(texts) - 1].near_next > 0.03
+
+
 def test_url_parts(spark):
     urls = ["http://A.Example.NET/en/x?q#f", "https://x.org", None, "no scheme", "http://", "s://h?p=/de/", "http://example.com/de/x", "http://notexample.com/de/", "http://a.net/q", "http://m.b.org/fr/1"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
