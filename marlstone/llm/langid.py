@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from .common import mix64, small, utf8_view, written
 
 BUCKETS = 1 << 16
-#: The model is fitted to at most about so many labelled rows of each of the LANGUAGES most frequent labels, picked by hash.
-SAMPLE, LANGUAGES = 400, 32
+#: The model is fitted to at most about so many labelled rows of each label, picked by hash; texts are scored by BLOCK languages at a time.
+SAMPLE, BLOCK = 400, 32
 ALPHA = 0.5
 #: Text evidence counts as that of at most so many independent 3-grams; a declaration is right so often; weight of a prior's parent; prior of 'und'.
 EVIDENCE, DECLARED, KAPPA, UNKNOWN = 60.0, 0.9, 20.0, 1e-3
@@ -70,52 +70,80 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(i), pa.string()), pa.array(i), pa.array(table[i])], names=["label", "i", "n"])
 
 
-def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """From rows (text, label): languages and a table of log probabilities (one row a language, the last is UND). Bounded: see SAMPLE."""
+class Model:
+    """Log probabilities of buckets: languages x BUCKETS, of which only those apart from a language's floor are held."""
+
+    def __init__(self, floors: np.ndarray, at: list[np.ndarray], values: list[np.ndarray]):
+        self.floors, self.at, self.values = floors, at, values
+
+    def __len__(self) -> int:
+        return len(self.floors)
+
+    def blocks(self):
+        """Dense tables, a row a bucket, of at most BLOCK languages each."""
+        for lo in range(0, len(self), BLOCK):
+            table = np.tile(self.floors[lo : lo + BLOCK], (BUCKETS, 1))
+            for k in range(table.shape[1]):
+                table[self.at[lo + k], k] = self.values[lo + k]
+            yield table
+
+
+def fit(rows: DataFrame) -> tuple[list[str], Model]:
+    """From rows (text, label): all labels that occur, with UND as the last, and their model. Sampled rows are bounded: see SAMPLE."""
     rows = rows.where(F.col("label").isNotNull() & (F.col("label") != UND) & F.col("text").isNotNull())
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("label").count().collect()
     languages = sorted(r["label"] for r in sizes)
+    flat = np.float32(-np.log(BUCKETS))
     if not languages:
-        return [UND], np.full((1, BUCKETS), -np.log(BUCKETS), np.float32)
+        return [UND], Model(np.array([flat]), [np.zeros(0, np.int32)], [np.zeros(0, np.float32)])
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, SAMPLE / r["count"]))))
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("label")) * float(1 << 30))
     counts = picked.select("text", "label").mapInArrow(_count, "label string, i long, n long").groupBy("label", "i").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(languages) + 1, BUCKETS))
-    for r in counts.collect():
-        table[languages.index(r.label), r.i] = r.n
-    p = (table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * BUCKETS)
-    p[-1] = 1 / BUCKETS
-    return [*languages, UND], np.log(p).astype(np.float32)
-
-
-def _score(model: np.ndarray, text_at: int):
+    found = counts.select(F.array_position(F.array(*map(F.lit, languages)), F.col("label")).cast("int").alias("l"), F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n")).toArrow()
+    which, i, n = (found.column(k).to_numpy().astype(np.int32) for k in range(3))
+    order = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[order], np.arange(len(languages) + 1), side="right")
+    floors, at, values = [], [], []
+    for lo, hi in zip(ends, ends[1:]):
+        own = n[order[lo:hi]].astype(np.float64)
+        total = own.sum() + ALPHA * BUCKETS
+        floors.append(np.log(ALPHA / total))
+        at.append(i[order[lo:hi]])
+        values.append(np.log((own + ALPHA) / total).astype(np.float32))
+    return [*languages, UND], Model(np.array([*floors, flat], np.float32), [*at, np.zeros(0, np.int32)], [*values, np.zeros(0, np.float32)])
+
+
+def _score(model: Model, text_at: int):
     def run(batches):
         import pyarrow as pa
 
-        by_gram = np.ascontiguousarray(model.T)
+        dense = list(model.blocks()) if len(model) <= BLOCK else None  # else made again for each batch, one at a time
         for batch in batches:
-            sums, counts = [], []
-            for data, offsets in _texts(batch.column(text_at)):
-                n = np.maximum(np.diff(offsets) - 2, 0)
-                out = np.zeros((len(n), len(model)))
-                full = np.flatnonzero(n)
-                if len(full):
-                    each = by_gram[grams(data)].astype(np.float64)
-                    total = np.add.reduceat(each, offsets[full], axis=0)
-                    # a text's last two positions reach into the next text: take them off
-                    for back in (1, 2):
-                        at = offsets[full + 1] - back
-                        inside = at < len(each)
-                        total[inside] -= each[at[inside]]
-                    # what lies between the ends of two texts that have 3-grams, in texts that have none
-                    gap = np.append(offsets[full[1:]], len(data)) - offsets[full + 1]
-                    for k in np.flatnonzero(gap > 0):
-                        total[k] -= each[offsets[full[k] + 1] : offsets[full[k] + 1] + gap[k]].sum(0)
-                    out[full] = total
-                sums.append(out)
-                counts.append(n)
-            flat = np.concatenate(sums).reshape(-1) if sums else np.zeros(0)
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            blocks, counts = [], [np.zeros(0, np.int64)]
+            for by_gram in dense or model.blocks():
+                sums, counts = [], [np.zeros(0, np.int64)]
+                for data, offsets in _texts(batch.column(text_at)):
+                    n = np.maximum(np.diff(offsets) - 2, 0)
+                    out = np.zeros((len(n), by_gram.shape[1]))
+                    full = np.flatnonzero(n)
+                    if len(full):
+                        each = by_gram[grams(data)].astype(np.float64)
+                        total = np.add.reduceat(each, offsets[full], axis=0)
+                        # a text's last two positions reach into the next text: take them off
+                        for back in (1, 2):
+                            at = offsets[full + 1] - back
+                            inside = at < len(each)
+                            total[inside] -= each[at[inside]]
+                        # what lies between the ends of two texts that have 3-grams, in texts that have none
+                        gap = np.append(offsets[full[1:]], len(data)) - offsets[full + 1]
+                        for k in np.flatnonzero(gap > 0):
+                            total[k] -= each[offsets[full[k] + 1] : offsets[full[k] + 1] + gap[k]].sum(0)
+                        out[full] = total
+                    sums.append(out)
+                    counts.append(n)
+                blocks.append(np.concatenate([np.zeros((0, by_gram.shape[1])), *sums]))
+            flat = np.concatenate(blocks, axis=1).reshape(-1)
+            n = np.concatenate(counts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(model), pa.int32()), pa.array(flat))
             keep = [batch.column(i) for i in range(batch.num_columns) if i != text_at]
             names = [batch.schema.names[i] for i in range(batch.num_columns) if i != text_at]
@@ -135,15 +163,21 @@ def suffix_of(host: Column) -> Column:
 
 def host_priors(votes: DataFrame, n: int) -> DataFrame:
     """From rows (host, vote: the place of a language, or null): (host, prior: an array of n log probabilities), smoothed level by level."""
-    tally = lambda by, df: df.groupBy(*by).agg(F.array(*(F.sum(F.get("c", F.lit(i))) for i in range(n))).alias("c"))
-    one = F.array(*(F.when(F.col("vote") == i, 1.0).otherwise(0.0) for i in range(n)))
-    hosts = written(tally(["host"], votes.select("host", one.alias("c"))).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
-    whole = tally([], hosts).select(F.transform(F.coalesce("c", F.array(*[F.lit(0.0)] * n)), lambda x: x).alias("c"))
+    cast = written(votes.groupBy("host", "vote").agg(F.count("*").cast("double").alias("c")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "votes")
+
+    def tally(by):
+        """Counts of all n languages by `by`; columns don't grow with n."""
+        sums = cast.groupBy(*by, "vote").agg(F.sum("c").alias("c"))
+        some = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("vote").isNotNull(), F.struct("vote", "c")))).alias("m"))
+        return some.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).drop("m")
+
+    hosts = tally(["host", "domain", "suffix"])
+    whole = tally([])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     top = whole.select(F.transform("c", lambda x: (x + 1.0) / (total(F.col("c")) + float(n))).alias("up"))
     smooth = lambda df, out: df.withColumn("_out", F.zip_with("c", "up", lambda x, u: (x + KAPPA * u) / (total(F.col("c")) + KAPPA))).drop("c", "up").withColumnRenamed("_out", out)
-    suffixes = smooth(tally(["suffix"], hosts).crossJoin(F.broadcast(top)), "up")  # top is one row
-    domains = smooth(tally(["domain", "suffix"], hosts).join(suffixes, "suffix"), "up").drop("suffix")
+    suffixes = smooth(tally(["suffix"]).crossJoin(F.broadcast(top)), "up")  # top is one row
+    domains = smooth(tally(["domain", "suffix"]).join(suffixes, "suffix"), "up").drop("suffix")
     return smooth(hosts.drop("suffix").join(domains, "domain"), "prior").select("host", F.transform("prior", lambda p: F.log(p)).alias("prior"))
 
 

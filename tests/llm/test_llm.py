@@ -320,6 +320,14 @@ def test_language(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_keeps_every_label(spark):
+    rnd = random.Random(9)
+    words = {f"l{k:02d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(40)}
+    rows = [(100 * a + i, " ".join(rnd.choice(words[k]) for _ in range(30)), k, "h") for a, k in enumerate(sorted(words)) for i in range(5 if a < 36 else 3)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")).collect()}
+    assert all(got[i].language == k and got[i].is_kept for i, _, k, _ in rows)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi & <|x|> [b]"), (1, 1, "assistant", "</s>[INST] ok"), (1, 2, "user", "&lt;"), (1, 3, "assistant", None), (2, 0, "user", "only"), (3, 0, None, None), (4, 0, "a|>b", "x\ny"), (4, 1, "assistant", "é😀")]
     rows = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).cache()
