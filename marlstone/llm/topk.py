@@ -92,8 +92,9 @@ def _scan(q_ids: np.ndarray, queries: np.ndarray, k: int, cutoff: np.ndarray | N
         hits: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
 
         def settle():
-            """Keeps the k best for each query of what this partition has found."""
+            """Keeps the k best ids for each query of what this partition has found, each id with its best score."""
             found = np.unique(np.concatenate(hits), axis=0)
+            found = found[np.append((found[1:, :2] != found[:-1, :2]).any(1), True)] if len(found) else found
             found = found[np.lexsort((found[:, 1], -found[:, 2], found[:, 0]))] if len(found) else found
             first = np.searchsorted(found[:, 0], found[:, 0])
             hits[:] = [found[np.arange(len(found)) - first < k]]
@@ -158,7 +159,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
                 block = block.where(F.col("vec_id") <= hi)
             rows = block.collect()  # at most about QUERY_BLOCK vectors
             q_ids, q = np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), n)
-            found = candidates.mapInArrow(_scan(q_ids, q, k, None), _HITS).distinct()
+            found = candidates.mapInArrow(_scan(q_ids, q, k, None), _HITS).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
             edge = {r.query_id: r.score for r in found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", "score").collect()}
             cutoff = np.array([edge.get(i, -_TOP) for i in q_ids.tolist()], np.float64)

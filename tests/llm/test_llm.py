@@ -307,6 +307,13 @@ def test_topk(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 1.0])] + [(1, [9.0 + i, 9.0]) for i in range(8)] + [(i, [float(i) / 4, 1.0]) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.search(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 256 * 256 * 25), *((i, 256 * 256 * (i + 4) // 4) for i in (8, 7, 6, 5))]
+
+
 def test_language(spark):
     words = {"en": "the of and that with from this have which", "de": "der die und nicht mit auch werden über schön", "fr": "le la les une est dans pour éléphant avec"}
     rnd = random.Random(8)
