@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import mix64, small, utf8_view, written
 
 BUCKETS = 1 << 16
-#: The model is fitted to at most about so many labelled rows of each label, picked by hash; texts are scored by BLOCK languages at a time.
+#: The model is fitted to at most about so many distinct texts of each label, picked by hash; texts are scored by BLOCK languages at a time.
 SAMPLE, BLOCK = 400, 32
 ALPHA = 0.5
 #: Text evidence counts as that of at most so many independent 3-grams; a declaration is right so often; weight of a prior's parent; prior of 'und'.
@@ -91,13 +91,14 @@ class Model:
 def fit(rows: DataFrame) -> tuple[list[str], Model]:
     """From rows (text, label): all labels that occur, with UND as the last, and their model. Sampled rows are bounded: see SAMPLE."""
     rows = rows.where(F.col("label").isNotNull() & (F.col("label") != UND) & F.col("text").isNotNull())
-    sizes = rows.groupBy("label").count().collect()
+    rows = rows.select("text", "label", F.xxhash64("text").alias("h"))
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("texts")).collect()
     languages = sorted(r["label"] for r in sizes)
     flat = np.float32(-np.log(BUCKETS))
     if not languages:
         return [UND], Model(np.array([flat]), [np.zeros(0, np.int32)], [np.zeros(0, np.float32)])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, SAMPLE / r["count"]))))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("label")) * float(1 << 30))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, SAMPLE / max(1, r["texts"])))))
+    picked = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("label")) * float(1 << 30)).dropDuplicates(["label", "h"])
     counts = picked.select("text", "label").mapInArrow(_count, "label string, i long, n long").groupBy("label", "i").agg(F.sum("n").alias("n"))
     found = counts.select(F.array_position(F.array(*map(F.lit, languages)), F.col("label")).cast("int").alias("l"), F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n")).toArrow()
     which, i, n = (found.column(k).to_numpy().astype(np.int32) for k in range(3))

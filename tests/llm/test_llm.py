@@ -335,6 +335,13 @@ def test_language_keeps_every_label(spark):
     assert all(got[i].language == k and got[i].is_kept for i, _, k, _ in rows)
 
 
+def test_language_model_counts_a_text_once(spark):
+    texts = [f"text number {i} of this label" for i in range(20)]
+    models = [langid.fit(spark.createDataFrame([(t, "en") for t in rows], "text string, label string")) for rows in (texts, texts + texts[:1] * 300)]
+    assert models[0][0] == models[1][0] == ["en", "und"]
+    assert all((a == b).all() for a, b in zip(*(next(m.blocks()) for _, m in models)))
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi & <|x|> [b]"), (1, 1, "assistant", "</s>[INST] ok"), (1, 2, "user", "&lt;"), (1, 3, "assistant", None), (2, 0, "user", "only"), (3, 0, None, None), (4, 0, "a|>b", "x\ny"), (4, 1, "assistant", "é😀")]
     rows = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).cache()
