@@ -225,6 +225,14 @@ def test_fingerprints_keep_all_anchors_with_positions(spark):
     assert abs(rows[len(texts) - 1].near_next - len(shared) / union) < 0.01 and rows[len(texts) - 1].near_next > 0.03
 
 
+def test_fingerprints_of_texts_without_spaces(spark):
+    rnd = random.Random(7)
+    rows = [(i, t, "x" + t) for i, t in enumerate(["".join(rnd.choice(a) for _ in range(5000)) for a in ("abcdefghijklmnop", "漢字仮名交文章検索語彙")])]
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    df = fingerprints.with_likeness(fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "x"), "b", "y"), "x", "y", "v")
+    assert all(r.v > 0.99 for r in df.collect())
+
+
 def test_url_parts(spark):
     urls = ["http://A.Example.NET/en/x?q#f", "https://x.org", None, "no scheme", "http://", "s://h?p=/de/", "http://example.com/de/x", "http://notexample.com/de/", "http://a.net/q", "http://m.b.org/fr/1"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
