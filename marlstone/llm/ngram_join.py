@@ -4,19 +4,22 @@ The global order of n-grams is the order of their 64-bit hashes. It is cut into
 fragments. If two sets differ in at most D n-grams, at least k - D of their fragments are equal; k exceeds D, so every linked pair
 meets in a bucket of documents that have one fragment in common. Each document leaves out its h = k - D - 1 most frequent fragments
 (a prefix filter over fragments, in the global order of their counts), which keeps shared passages and boilerplate from making candidates.
-For the pairs that meet, the overlap is counted fragment by fragment and summed per pair, which is exact.
 
-Sets that are equal are one vertex. Within a bucket, all members are first held against the pivot, the member with the most company. Two
-members that this leaves in different components can only link if what sets them apart from the pivot overlaps, which a second prefix
-filter finds. Of the pairs that it lets through, those go whose parity bitmaps differ in more bits than linked sets differ in n-grams: each
-n-gram flips one bit, so that two sets' bitmaps differ at most in as many bits as the sets in n-grams. So groups of near copies cost a row for
-each member, not for each pair, and no link between different components is missed: components are exact. (Hashes of 64 bits stand for n-grams.)
+Sets that are equal are one vertex. Within a bucket, all members are first paired with the pivot, the member with the most company, which
+links most groups of near copies at a row a member. What is left are links between members of a bucket that are in different components.
+For these, the n-grams of such members alone are ordered from the rarest on: the sets of a linked pair have an n-gram in common among
+the first of each (a prefix filter with positions). N-grams that copies share with their whole group come last and so make no pairs, and n-grams
+whose documents are in one component make none either. So groups of near copies cost no row for each pair, and components are exact.
+
+Pairs are candidates only. Sizes and parity bitmaps (each n-gram flips one bit, so two bitmaps differ at most in as many bits as the
+sets in n-grams) decide on most of them before any set is moved. For those that pass, partial overlaps are counted for each of FRAGMENTS
+ranges of the order, separately, and summed per pair, which is exact. (Hashes of 64 bits stand for n-grams.)
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -27,8 +30,6 @@ from .shingles import shingle_sets
 
 SEEDS = 4
 FRAGMENTS = 16
-#: Parity bitmaps have so many longs; they tell most in sets of up to about twice as many n-grams as bits.
-BITS = 4
 
 
 def size_classes(most: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
@@ -72,16 +73,42 @@ def signatures(x: np.ndarray, classes, num: int, den: int):
                 break
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams at each bit, as words: a power of two of them, 4 at least, with a bit or more for each n-gram of the set."""
+    words = 4
+    while 64 * words < len(x):
+        words *= 2
+    odd = np.bincount((x & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def flipped(a: Column, b: Column) -> Column:
+    """In how many bits two bitmaps differ, the longer one folded to the length of the other."""
+    fold = lambda x, y: F.transform(y, lambda w, i: F.bit_count(F.aggregate(F.sequence(i, F.size(x) - 1, F.size(y)), w, lambda s, j: s.bitwiseXOR(F.get(x, j)))))
+    return F.aggregate(F.when(F.size(a) >= F.size(b), fold(a, b)).otherwise(fold(b, a)), F.lit(0), lambda s, c: s + c)
+
+
+_LONGS = T.ArrayType(T.LongType(), False)
 _PREP = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
-    + [T.StructField("code", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("sigs", T.ArrayType(T.LongType(), False))]
+    + [T.StructField("code", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("sigs", _LONGS), T.StructField("bits", _LONGS)]
 )
-_SETS = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.LongType(), False), False))]
-    + [T.StructField(f"b{i}", T.LongType()) for i in range(BITS)]
+_SEGMENTS = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f", T.IntegerType()), T.StructField("part", _LONGS)]
 )
 
 
+def _digest(x: np.ndarray) -> int:
+    return int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
+
+
+def _lists(arrays: list[np.ndarray]):
+    import pyarrow as pa
+
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
+
+
 def _prepare(n: int, num: int, den: int):
     def run(batches):
         import pyarrow as pa
@@ -92,26 +119,26 @@ def _prepare(n: int, num: int, den: int):
                 part = batch.slice(lo, 1000)
                 ids = part.column(0).to_pylist()
                 rows: list[list] = [[], [], [], [], [], []]
-                sigs, at = [], [0]
+                sigs, bits = [], []
                 for doc, x in zip(ids, shingle_sets(*utf8_view(part.column(1)), n)):
                     while len(x) > classes[-1][1]:
                         classes = size_classes(2 * len(x), num, den)
-                    d1, d2 = (int(x.sum(dtype=np.uint64).view(np.int64)), int(mix64(x).sum(dtype=np.uint64).view(np.int64))) if len(x) else (0, 0)
+                    d1, d2 = _digest(x), _digest(mix64(x))
                     found = list(signatures(x, classes, num, den)) or [(None, None, x[:0])]
                     for i, (code, spare, sig) in enumerate(found):
                         for col, value in zip(rows, (doc, len(x) if not i else None, d1, d2, code, spare)):
                             col.append(value)
                         sigs.append(sig)
-                        at.append(at[-1] + len(sig))
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+                        bits.append(x[:0].view(np.int64) if i or code is None else bitmap(x))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)] + [lists], names=_PREP.names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(rows, kinds)), _lists(sigs), _lists(bits)], names=_PREP.names)
 
     return run
 
 
-def _sets(n: int):
+def _segments(n: int):
+    """A row for each fragment of a set that holds something."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -119,59 +146,55 @@ def _sets(n: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sizes, flat, at, bits = [], [], [0], []
-                for x in shingle_sets(*utf8_view(part.column(1)), n):
-                    sizes.append(len(x))
-                    flat.append(x)
-                    odd = np.bincount((x & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                    at += (at[-1] + np.append(np.searchsorted(x, cuts), len(x))).tolist()
-                values = pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))
-                inner = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-                outer = pa.ListArray.from_arrays(pa.array(range(0, len(at), FRAGMENTS), pa.int32()), inner)
-                flags = np.array(bits, np.int64).reshape(-1, BITS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), outer] + [pa.array(flags[:, i]) for i in range(BITS)], names=_SETS.names)
+                rows, parts = [], []
+                for doc, x in zip(part.column(0).to_pylist(), shingle_sets(*utf8_view(part.column(1)), n)):
+                    d1 = _digest(x)
+                    for f, piece in enumerate(np.split(x, np.searchsorted(x, cuts))):
+                        if len(piece):
+                            rows.append((doc, d1, len(x), f))
+                            parts.append(piece)
+                cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, _lists(parts)], names=_SEGMENTS.names)
 
     return run
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) with sizes n_u and n_v, differing: in how many n-grams the sets differ, from the partial overlaps of each fragment,
-    linked, head: the n-grams that differ, those that only u has before those that only v has, as many as a prefix filter needs, and u's bitmap."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("parts").alias("p_u"), *(f"b{i}" for i in range(BITS)))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("parts").alias("p_v"))
-    partial = F.zip_with("p_u", "p_v", lambda x, y: F.size(F.array_intersect(x, y)))
-    overlap = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
-    only = lambda x, y: F.array_sort(F.flatten(F.zip_with(x, y, lambda p, q: F.array_except(p, q))))
-    joined = pairs.join(a, "u").join(b, "v").withColumn("overlap", overlap)
-    need = F.floor(F.col("n_u") * (den - num) / num).cast("int") + 1
-    return joined.select(
-        "u", "v", "n_u", "n_v",
-        (F.col("n_u") + F.col("n_v") - 2 * F.col("overlap")).alias("differing"),
-        ((den + num) * F.col("overlap") >= num * (F.col("n_u") + F.col("n_v"))).alias("linked"),
-        F.slice(F.concat(only("p_u", "p_v"), only("p_v", "p_u")), 1, need).alias("head"),
-        *(f"b{i}" for i in range(BITS)),
-    )
-
-
-def _between_members(judged: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of a pivot's bucket that are in different components and may link.
-
-    Members u1, u2 of pivot v differ in |d1| + |d2| - 2 |d1 & d2| n-grams, where d is what each differs in from v. If one of them isn't linked
-    to v, a link between them needs a common n-gram in d1 and d2, and enough of them: a prefix filter with positions on these short lists. The bitmaps, compared as the lists are joined, then leave few pairs that are not links.
-    """
-    node = lambda c, out: found.select(F.col("node").alias(c), F.col("component").alias(out))
-    of = judged.join(node("u", "cu"), "u", "left").join(node("v", "cv"), "v", "left").withColumn("cu", F.coalesce("cu", "u")).withColumn("cv", F.coalesce("cv", "v"))
-    mixed = of.where("cu <> cv").select("v").distinct()
-    names = ["u", "cu", "n_u", "differing", "at", *(f"b{i}" for i in range(BITS))]
-    gram = of.join(mixed, "v", "left_semi").select("*", F.posexplode("head").alias("at", "gram"))
-    side = lambda i: gram.select("v", "gram", *(F.col(c).alias(f"{c}_{i}") for c in names))
-    most = f"floor((n_u_1 + n_u_2) * {den - num} / {den + num})"
-    sizes = f"n_u_1 * {num} <= n_u_2 * {den} and n_u_2 * {num} <= n_u_1 * {den}"
-    room = f"2 * least(differing_1 - at_1, differing_2 - at_2) >= differing_1 + differing_2 - {most}"
-    flipped = " + ".join(f"bit_count(b{i}_1 ^ b{i}_2)" for i in range(BITS))
-    found = side(1).join(side(2), ["v", "gram"]).where(f"u_1 < u_2 and cu_1 <> cu_2 and {sizes} and {room} and {flipped} <= {most}")
-    return found.select(F.col("u_1").alias("u"), F.col("u_2").alias("v")).distinct()
+def _promising(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (u, v), those whose sizes and bitmaps allow a link, with d1_u, d1_v, n_u and n_v. A document may have several sets."""
+    side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("d1").alias(f"d1_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    fits = f"n_u * {num} <= n_v * {den} and n_v * {num} <= n_u * {den}"
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(fits)
+    most = F.floor((F.col("n_u") + F.col("n_v")) * (den - num) / (den + num))
+    return both.where(flipped(F.col("bits_u"), F.col("bits_v")) <= most).drop("bits_u", "bits_v")
+
+
+def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (u, v, d1_u, d1_v, n_u, n_v), those that link: overlaps are counted by fragment and summed per pair."""
+    side = lambda x: segments.select(F.col("doc_id").alias(x), F.col("d1").alias(f"d1_{x}"), "f", F.col("part").alias(f"part_{x}"))
+    met = pairs.join(side("u"), ["u", "d1_u"]).join(side("v"), ["v", "d1_v", "f"])
+    partial = met.select("u", "v", "d1_u", "d1_v", "n_u", "n_v", F.size(F.array_intersect("part_u", "part_v")).alias("overlap"))
+    whole = partial.groupBy("u", "v", "d1_u", "d1_v", "n_u", "n_v").agg(F.sum("overlap").alias("overlap"))
+    return whole.where(f"{den + num} * overlap >= {num} * (n_u + n_v)").select("u", "v").distinct()
+
+
+def _between_components(segments: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of members (doc_id, component) in different components that may link: a prefix filter with positions, rarest n-grams first."""
+    grams = segments.join(members, "doc_id").select("doc_id", "d1", "n", "component", F.explode("part").alias("gram"))
+    shared = grams.withColumn("often", F.count("*").over(Window.partitionBy("gram"))).where("often > 1")
+    # n-grams that no other member has come first; the list holds the others of one set
+    order = shared.groupBy("doc_id", "d1", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("rest")).withColumn("alone", F.col("n") - F.size("rest"))
+    reach = F.greatest(F.floor(F.col("n") * (den - num) / den) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    entry = order.select("doc_id", "n", "component", "alone", F.posexplode(F.slice("rest", 1, reach)).alias("i", "x"))
+    entry = written(entry.select("doc_id", "n", "component", (F.col("alone") + F.col("i")).alias("at"), F.col("x.gram").alias("gram")), "entries")
+    # an n-gram's largest component isn't paired with itself, so of each pair one side at least is outside it
+    groups = entry.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("groups"))
+    mixed = entry.join(groups.where("groups > 1").select("gram", F.col("top.component").alias("main")), "gram")
+    side = lambda i: mixed.select("gram", "main", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "n", "component", "at")))
+    other = "component_1 <> component_2 and (component_2 = main or doc_id_1 < doc_id_2)"
+    sizes = f"n_1 * {num} <= n_2 * {den} and n_2 * {num} <= n_1 * {den}"
+    room = f"{den + num} * least(n_1 - at_1, n_2 - at_2) >= {num} * (n_1 + n_2)"
+    found = side(1).where("component_1 <> main").join(side(2).drop("main"), "gram").where(f"{other} and {sizes} and {room}")
+    return found.select(F.least("doc_id_1", "doc_id_2").alias("u"), F.greatest("doc_id_1", "doc_id_2").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,28 +217,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     alone = prep.where("code is not null and doc_id is not null").join(small(copies), ["doc_id", "d1", "d2"], "left_anti")
     rows = alone.select("doc_id", "code", "spare", F.explode("sigs").alias("sig"))
-    often = rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
+    # one shuffle of the signatures: few occur twice, and a signature's rows are at most one for each document, of all that it has
+    shared = rows.withColumn("often", F.count("*").over(Window.partitionBy("sig"))).where("often > 1")
     by = Window.partitionBy("doc_id", "code")
-    shared = rows.join(often, "sig").withColumn("m", F.count("*").over(by)).withColumn("weight", F.sum("often").over(by))
+    shared = shared.withColumn("m", F.count("*").over(by)).withColumn("weight", F.sum("often").over(by))
     shared = shared.withColumn("r", F.row_number().over(by.orderBy("often", "sig"))).where("r <= m - spare")
     buckets = written(shared.select("sig", "doc_id", "weight"), "buckets")
     drop(copies)
 
     star = buckets.groupBy("sig").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"))).alias("top"), F.count("*").alias("m")).where("m > 1").select("sig", (-F.col("top.less")).alias("pivot"))
     pairs = written(buckets.join(star, "sig").where("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
-    ids = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
+    ids = small(written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids"))
     # a repeated doc_id may stand for several sets; links of any of them count
-    sets = written(texts.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets(n), _SETS), "sets")
-    judged = written(_judged(pairs, sets, num, den), "judged")
-    found = connected_components(judged.where("linked"))
-    cross = written(_between_members(judged, found, num, den), "cross")
-    more = written(_judged(cross, sets, num, den).where("linked").select("u", "v"), "links")
+    marks = written(prep.where("size(bits) > 0").join(ids, "doc_id", "left_semi").select("doc_id", "d1", "n", "bits").dropDuplicates(["doc_id", "d1", "n"]), "marks")
+    segments = texts.join(ids, "doc_id", "left_semi").mapInArrow(_segments(n), _SEGMENTS)
+    if not each.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        segments = segments.dropDuplicates(["doc_id", "d1", "f"])  # rows that repeat an id and a text
+    segments = written(segments, "segments")
+    near = written(_promising(pairs, marks, num, den), "promising")
+    found = connected_components(_linked(near, segments, num, den))
+    drop(pairs, near)
+
+    of = buckets.join(found, buckets.doc_id == found.node, "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    torn = of.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("sig")
+    members = written(of.join(torn, "sig").select("doc_id", "component").distinct(), "members")
+    cross = written(_between_components(segments, small(members), num, den), "cross")
+    near = written(_promising(cross, marks, num, den), "promising")
+    more = written(_linked(near, segments, num, den), "links")
     if not more.isEmpty():
         # stars keep what is already known; only the new links are added to them
-        again = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-        drop(found)
-        found = again
-    drop(buckets, ids, sets, pairs, judged, cross, more)
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    drop(buckets, members, marks, segments, cross, near, more)
 
     out = member.join(found, member.rep == found.node, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

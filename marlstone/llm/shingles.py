@@ -8,28 +8,26 @@ from .common import mix64
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _CHUNK = 1 << 20
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Bytes at so many first places of a word have their codes in a table.
+_NEAR = 64
+
+
+def _code(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each byte at its place in the word. Codes of different places have nothing in common, so sums of them tell words
+    apart whatever pattern their letters form (as powers of one base don't: those cancel in Thue-Morse words)."""
+    return mix64((place.astype(np.uint64) * np.uint64(256) + byte + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
 
 
 def _tables():
     word = np.ones(256, bool)
     word[list(SEPARATORS)] = False
-    code = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    code[ord("A") : ord("Z") + 1] = code[ord("a") : ord("z") + 1]  # lower-cases A-Z
-    return word, code
-
+    lower = np.arange(256, dtype=np.int64)
+    lower[ord("A") : ord("Z") + 1] += 32  # lower-cases A-Z
+    near = _code(np.tile(np.arange(256, dtype=np.uint64), _NEAR), np.repeat(np.arange(_NEAR), 256))
+    return word, lower, near
 
-_WORD, _CODE = _tables()
-_powers: dict[str, np.ndarray] = {}
 
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, _CHUNK + 1)
-        up, down = np.full(n, _P, np.uint64), np.full(n, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
-        up[0] = down[0] = 1
-        _powers.update(up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"], _powers["down"]
+_WORD, _LOWER, _NEAR_CODES = _tables()
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray):
@@ -67,11 +65,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         last = np.empty(m, bool)
         last[-1] = word[-1]
         last[:-1] = word[:-1] & (~word[1:] | first[1:])
-        up, down = _power(m + 1)
-        total = np.zeros(m + 1, np.uint64)
-        np.cumsum(_CODE[b] * up[:m], out=total[1:])
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
+        start = np.zeros(m, np.int64)
+        start[s] = s
+        place = np.arange(m) - np.maximum.accumulate(start)
+        byte = _LOWER[b]
+        codes = _NEAR_CODES[np.minimum(place, _NEAR - 1) * 256 + byte]
+        far = np.flatnonzero(place >= _NEAR)
+        codes[far] = _code(byte[far].astype(np.uint64), place[far])
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum(codes, out=total[1:])
+        hashes.append(mix64(total[e] - total[s] + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
         begins.append(s + lo)
     begin = np.concatenate(begins)
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(begin, offsets)
