@@ -58,6 +58,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def read_written(tables: list[DataFrame]) -> DataFrame:
+    """The rows of several tables of written() with one schema, in one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(df._marlstone_path for df in tables))
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing reads any more."""
     for df in tables:

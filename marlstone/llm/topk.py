@@ -1,13 +1,15 @@
 """Exact top-k search by inner product, with the three phases of the uniform-threshold method.
 
 The dimensions are cut into SLICES, so that a score is a sum of SLICES local scores, and candidates are dealt over partitions.
-1. Each partition gathers, for each query and slice, its K candidates with the best local scores, and totals them. The K-th best total
-   over all partitions is a cutoff that the true K-th best score can't be below.
-2. The cutoff is sent to all partitions. A candidate can only reach it if one of its local scores is at least cutoff / SLICES;
-   such entries are collected.
-3. The collected entries' other local scores are resolved, and those that reach the cutoff are ranked exactly.
-
-Queries are taken in blocks of at most QUERY_BLOCK rows, which bounds what is sent to the partitions; candidates stay where they are.
+1. Partitions gather, for each query and slice, the K best local scores among a share of the candidates (1 in PROBE, by the hash of the
+   vector) and total these entries. The K-th best total over all partitions is a cutoff that the true K-th best score can't be below,
+   whichever candidates it comes from.
+2. The cutoff is sent to all partitions, which go through all candidates. One whose score reaches the cutoff has a local score of at least
+   cutoff / SLICES; each slice's list of local scores is cut there, and only the entries above are collected.
+3. For the collected entries alone, the scores in the other slices are resolved; totals that reach the cutoff are ranked exactly.
+
+Queries are dealt by hash into blocks of at most about BLOCK_BYTES, so the driver and each task hold one block at a time, however many
+queries there are. Each block's answers are written before the next one is read; candidates stay where they are.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import read_written, written
 
 K = 5
-SLICES = 4
-QUERY_BLOCK = 4096
-_ROWS = 2048
+#: Few slices: the more there are, the more entries reach an equal share of the cutoff.
+SLICES = 2
+PROBE = 16
+BLOCK_BYTES = 16 << 20
+_ROWS, _QUERIES = 2048, 512
 _HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 _TOP = (1 << 63) - 1
 
@@ -36,97 +40,81 @@ def scaled(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("double")))
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have the most common length as a matrix of doubles, their positions); vectors of other lengths take no part."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.values.to_numpy(zero_copy_only=False)
-    return flat[column.offsets[0].as_py() : column.offsets[-1].as_py()], lengths
-
-
-def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products as int64; sums beyond 2^53 are made with Python's integers and saturate at the range of a long."""
-    bound = (np.abs(q).max(initial=0) * np.abs(v).max(initial=0)) * max(1, q.shape[1])
-    if bound < 2.0**53:
-        return (q @ v.T).astype(np.int64)
-    exact = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in v], object).T
+def _whole(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """All scores by Python's integers, held to the range of a long: for components so large that doubles would round."""
+    exact = np.array([[int(x) for x in r] for r in q], object).reshape(q.shape) @ np.array([[int(x) for x in r] for r in v], object).reshape(v.shape).T
     return np.clip(exact, -_TOP - 1, _TOP).astype(np.int64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, keep: np.ndarray | None = None):
-    """Row and column indexes of each row's k best (ties to the smaller id, for ascending ids), among those kept."""
-    part = scores if keep is None else np.where(keep, scores, np.iinfo(np.int64).min)
-    n = part.shape[1]
-    if n > k:
-        edge = np.partition(part, n - k, axis=1)[:, n - k]
-        r, c = np.nonzero(part >= edge[:, None])
-    else:
-        r, c = np.nonzero(np.ones_like(part, bool))
-    if keep is not None:
-        ok = keep[r, c]
-        r, c = r[ok], c[ok]
-    order = np.lexsort((ids[c], -part[r, c].astype(np.float64), r)) if (np.abs(part[r, c]) < 2**53).all() else np.array(sorted(range(len(r)), key=lambda i: (r[i], -int(part[r[i], c[i]]), ids[c[i]])), np.int64)
-    r, c = r[order], c[order]
-    first = np.searchsorted(r, r)
-    near = np.arange(len(r)) - first < k
-    return r[near], c[near]
+def _totals(q: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray, known: np.ndarray, missing: list[np.ndarray]) -> np.ndarray:
+    """Scores of the pairs (r, c) of which `known` is settled and the slices `missing` are not, some pairs at a time."""
+    out = known.copy()
+    for lo in range(0, len(r), 1 << 15):
+        at = slice(lo, lo + (1 << 15))
+        for s in missing:
+            out[at] += np.einsum("ij,ij->i", q[r[at]][:, s], v[c[at]][:, s])
+    return out
+
+
+def local_entries(q: np.ndarray, v: np.ndarray, own: np.ndarray, slices: list[np.ndarray], k: int, cutoff: np.ndarray | None):
+    """Rows, columns and scores of the entries of each slice's list: its k best, or those of at least an equal share of the cutoff."""
+    rows, cols, scores = [], [], []
+    for s, dims in enumerate(slices):
+        local = q[:, dims] @ v[:, dims].T
+        local[own] = -np.inf
+        if cutoff is None:
+            n = local.shape[1]
+            edge = np.partition(local, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(q), 1), -np.inf)
+            r, c = np.nonzero((local >= edge) & ~own)
+        else:
+            r, c = np.nonzero((local >= cutoff[:, None] / len(slices)) & ~own)
+        rows.append(r)
+        cols.append(c)
+        scores.append(_totals(q, v, r, c, local[r, c], [d for i, d in enumerate(slices) if i != s]))
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
 def _scan(q_ids: np.ndarray, queries: np.ndarray, k: int, cutoff: np.ndarray | None):
-    slices = np.array_split(np.arange(queries.shape[1]), SLICES)
+    width = queries.shape[1]
+    slices = [s for s in np.array_split(np.arange(width), SLICES) if len(s)]
 
     def blocks(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat, lengths = _matrix(batch.column(1))
-            starts = np.concatenate(([0], np.cumsum(lengths)))
-            good = np.flatnonzero(lengths == queries.shape[1])
+            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            flat, begins = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            good = np.flatnonzero(np.diff(begins) == width)  # vectors of other lengths take no part
             for lo in range(0, len(good), _ROWS):
                 g = good[lo : lo + _ROWS]
-                m = flat[starts[g][:, None] + np.arange(queries.shape[1])] if queries.shape[1] else np.zeros((len(g), 0))
-                order = np.argsort(ids[g], kind="stable")
-                yield ids[g][order].astype(np.int64), m[order].astype(np.float64)
+                yield ids[g].astype(np.int64), flat[begins[g][:, None] + np.arange(width)].astype(np.float64) if width else np.zeros((len(g), 0))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        hits: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
-
-        def settle():
-            """Keeps the k best ids for each query of what this partition has found, each id with its best score."""
-            found = np.unique(np.concatenate(hits), axis=0)
-            found = found[np.append((found[1:, :2] != found[:-1, :2]).any(1), True)] if len(found) else found
-            found = found[np.lexsort((found[:, 1], -found[:, 2], found[:, 0]))] if len(found) else found
-            first = np.searchsorted(found[:, 0], found[:, 0])
-            hits[:] = [found[np.arange(len(found)) - first < k]]
-
+        hits = np.zeros((0, 3), np.int64)
+        largest = np.abs(queries).max(initial=0) * max(1, width)
         for ids, m in blocks(batches):
-            for qlo in range(0, len(q_ids), 512):
-                q, qid = queries[qlo : qlo + 512], q_ids[qlo : qlo + 512]
-                local = [_dot(q[:, s], m[:, s]) for s in slices if len(s)] or [_dot(q, m)]
-                own = qid[:, None] == ids[None, :]
-                if cutoff is None:
-                    entry = np.zeros(own.shape, bool)
-                    for part in local:
-                        r, c = _best(part, ids, k, ~own)
-                        entry[r, c] = True
+            more = [hits]
+            safe = largest * np.abs(m).max(initial=0) < 2.0**53
+            for lo in range(0, len(q_ids), _QUERIES):
+                at = slice(lo, lo + _QUERIES)
+                q, who = queries[at], q_ids[at]
+                own = who[:, None] == ids[None, :]
+                if safe and slices:
+                    r, c, score = local_entries(q, m, own, slices, k, None if cutoff is None else cutoff[at])
                 else:
-                    share = cutoff[qlo : qlo + 512, None] / len(local)
-                    entry = local[0] >= share
-                    for part in local[1:]:
-                        entry |= part >= share
-                entry &= ~own
-                r, c = np.nonzero(entry)
-                total = np.zeros(len(r), np.int64)
-                for part in local:
-                    total += part[r, c]
+                    r, c = np.nonzero(~own)
+                    score = _whole(q, m)[r, c]
                 if cutoff is not None:
-                    ok = total >= cutoff[qlo : qlo + 512][r]
-                    r, c, total = r[ok], c[ok], total[ok]
-                hits.append(np.stack([qid[r], ids[c], total], 1))
-            settle()
-        found = hits[0]
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=_HITS.names)
+                    reach = score >= cutoff[at][r]
+                    r, c, score = r[reach], c[reach], score[reach]
+                more.append(np.stack([who[r], ids[c], score.astype(np.int64)], 1))
+            # of each query, the k best ids of this partition so far, each with its best score, stay
+            found = np.unique(np.concatenate(more), axis=0)
+            found = found[np.append((found[1:, :2] != found[:-1, :2]).any(1), True)] if len(found) else found
+            found = found[np.lexsort((found[:, 1], ~found[:, 2], found[:, 0]))]
+            hits = found[np.arange(len(found)) - np.searchsorted(found[:, 0], found[:, 0]) < k]
+        if len(hits):
+            yield pa.RecordBatch.from_arrays([pa.array(hits[:, i]) for i in range(3)], names=_HITS.names)
 
     return run
 
@@ -136,34 +124,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     the smaller vec_id; fewer if there are fewer.
 
     Components are floor(256 * x). Vectors that are null or hold null or non-finite components, and null ids, take no part; a query meets
-    the vectors of its own length. Rows that repeat an id and vector count once (with different vectors, the id's best counts). An empty
-    table gives an empty result.
+    the vectors of its own length. Rows that repeat an id and vector count once (with different vectors, the id's best counts). Scores
+    beyond the range of a long are held to it. Extra columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     form = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
     candidates, asked = form(vectors), written(form(queries).dropDuplicates(["vec_id", "v"]), "queries")
     spark = vectors.sparkSession
-    out = None
-    lengths = [r.n for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
-    for n in lengths:
-        of = asked.where(F.size("v") == n)
-        total = of.count()
-        blocks = -(-total // QUERY_BLOCK)
-        cuts = [None] * (blocks + 1)
-        if blocks > 1:
-            cuts[1:-1] = of.agg(F.percentile("vec_id", [i / blocks for i in range(1, blocks)])).first()[0]
-        for lo, hi in zip(cuts, cuts[1:]):
-            block = of
-            if lo is not None:
-                block = block.where(F.col("vec_id") > lo)
-            if hi is not None:
-                block = block.where(F.col("vec_id") <= hi)
-            rows = block.collect()  # at most about QUERY_BLOCK vectors
-            q_ids, q = np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), n)
-            found = candidates.mapInArrow(_scan(q_ids, q, k, None), _HITS).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            edge = {r.query_id: r.score for r in found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", "score").collect()}
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
+    probe = F.pmod(F.xxhash64("v", "vec_id"), F.lit(PROBE)) == 0
+    answers = []
+    for n, total in sorted(asked.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("total")).collect()):
+        blocks = -(-total * max(1, n) * 8 // BLOCK_BYTES)
+        for b in range(blocks):
+            rows = asked.where((F.size("v") == n) & (F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b)).toArrow()  # about BLOCK_BYTES
+            if not rows.num_rows:
+                continue
+            q_ids = rows.column("vec_id").to_numpy()
+            q = np.concatenate([c.flatten().to_numpy() for c in rows.column("v").chunks]).reshape(len(q_ids), n).astype(np.float64)
+            found = ranked(candidates.where(probe & (F.size("v") == n)).mapInArrow(_scan(q_ids, q, k, None), _HITS))
+            edge = {r.query_id: r.score for r in found.where(F.col("rank") == k).select("query_id", "score").collect()}  # a number for each query of the block
             cutoff = np.array([edge.get(i, -_TOP) for i in q_ids.tolist()], np.float64)
-            hits = candidates.mapInArrow(_scan(q_ids, q, k, cutoff), _HITS).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            top = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-            out = top if out is None else out.unionByName(top)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            hits = ranked(candidates.where(F.size("v") == n).mapInArrow(_scan(q_ids, q, k, cutoff), _HITS))
+            answers.append(written(hits.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "answers"))
+    return read_written(answers) if answers else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
