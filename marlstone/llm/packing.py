@@ -1,10 +1,12 @@
 """Packing token sequences into windows: order-preserving dynamic programming with a monotone queue.
 
 The documents of a partition, each followed by an end id, form one stream. Cuts may stand at ends of documents (free), at ends of
-sentences, and elsewhere at every GRID-th token, for a penalty. best(j) = min over i of best(i) + padding of window (i, j] + penalty of
-j, where the window holds at most `size` tokens. As padding is size - (P[j] - P[i]), best(j) + P[j] = size + penalty(j) + the least
-best(i) + P[i] within reach: a sliding minimum, kept in a monotone queue. Blocks of the stream are solved one after the other, so memory
-is bounded by a block and the longest document, and nothing is shuffled.
+sentences, and elsewhere at every GRID-th token, for a penalty in tokens of padding: a cut inside a sentence truncates it, so it is only
+worth a lot of padding. best(j) = min over i of best(i) + padding of window (i, j] + penalty of j + WINDOW_COST, where the window holds at
+most `size` tokens. As padding is size - (P[j] - P[i]), best(j) + P[j] = size + penalty(j) + WINDOW_COST + the least best(i) + P[i] within
+reach: a sliding minimum, kept in a monotone queue. A window of a power of two of LEAST_SHORT tokens or more needs no padding: for each such
+length that ends at j and begins at a cut, best(i) + P[i] + length + penalty(j) + WINDOW_COST competes. Blocks of the stream are solved one
+after the other, so memory is bounded by a block and the longest document, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIZE = 1024
-GRID = 16
-SENTENCE_PENALTY, MIDDLE_PENALTY = 1, 4
+GRID = 32
+SENTENCE_PENALTY, MIDDLE_PENALTY, WINDOW_COST = 4, 36, 1
+LEAST_SHORT = 32
 BLOCK = 1 << 19
 END_ID = 0
 
@@ -28,8 +31,9 @@ _PIECES = T.StructType(
 )
 
 
-def best_cuts(positions: list[int], penalties: list[int], size: int) -> tuple[list[int], list[int]]:
-    """positions[0] is the start; neighbours are at most `size` apart. Returns each position's best predecessor, and best + position."""
+def best_cuts(positions: list[int], penalties: list[int], size: int, short: list[list[tuple[int, int]]] | None = None) -> tuple[list[int], list[int]]:
+    """positions[0] is the start; neighbours are at most `size` apart. short[j]: the (place, length) of windows that end at j and need no
+    padding. Returns each position's best predecessor, and best + position."""
     n = len(positions)
     prev, total = [0] * n, [0] * n
     queue, head = [0], 0
@@ -39,7 +43,12 @@ def best_cuts(positions: list[int], penalties: list[int], size: int) -> tuple[li
         while positions[queue[head]] < low:
             head += 1
         i = queue[head]
-        v = total[i] + size + penalties[j]
+        v = total[i] + size
+        if short is not None:
+            for k, length in short[j]:
+                if total[k] + length < v:
+                    i, v = k, total[k] + length
+        v += penalties[j]
         prev[j], total[j] = i, v
         while len(queue) > head and total[queue[-1]] >= v:
             queue.pop()
@@ -47,6 +56,18 @@ def best_cuts(positions: list[int], penalties: list[int], size: int) -> tuple[li
     return prev, total
 
 
+def short_windows(at: np.ndarray, size: int) -> list[list[tuple[int, int]]]:
+    """For each position of `at`, the windows of a power of two of tokens (LEAST_SHORT or more, below size) that end there and begin at one."""
+    out: list[list[tuple[int, int]]] = [[] for _ in at]
+    length = LEAST_SHORT
+    while length < size:
+        k = np.minimum(np.searchsorted(at, at - length), len(at) - 1)
+        for j in np.flatnonzero(at[k] == at - length).tolist():
+            out[j].append((int(k[j]), length))
+        length *= 2
+    return out
+
+
 def plan_windows(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size: int, last: bool) -> np.ndarray:
     """Window bounds from 0 on over a stream of ids whose documents end at `ends`. Unless it is the last block, the rest behind the last
     bound waits for the next one. What the last full window leaves is split at powers of two, which need no padding."""
@@ -58,8 +79,8 @@ def plan_windows(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size:
     cost[ends] = 0
     cost[0] = cost[n] = max(cost[n], 0)
     at = np.flatnonzero(cost >= 0)
-    positions, penalties = at.tolist(), cost[at].tolist()
-    prev, total = best_cuts(positions, penalties, size)
+    positions, penalties = at.tolist(), (cost[at] + WINDOW_COST).tolist()
+    prev, total = best_cuts(positions, penalties, size, short_windows(at, size))
     near = np.searchsorted(at, n - size)
     waste = np.array(total[near:]) - at[near:]
     j = near + int(len(waste) - 1 - np.argmin(waste[::-1]))
