@@ -74,11 +74,12 @@ def replicate(docs: DataFrame, rates_: DataFrame, seed: int = SEED, id_col: str
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, total: float | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The columns of docs with n_copies, copy and shuffle_key: documents copied to the target weights and shuffled globally.
 
-    Rows are dealt to partitions by ranges of shuffle_key, and ordered by it within them (ties by id and copy). A null or empty text has
+    shuffle_key is uniform, so equal ranges of it make even partitions without sampling; rows are dealt to them and ordered by the key within
+    (ties by id and copy). A null or empty text has
     size 1; a null source is the source ''; a null id counts as ''. Rows that share an id get the same number of copies. Columns of docs
     with the names of the added ones are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("n_copies", "copy", "shuffle_key")
     out = replicate(docs, rates(docs, weights, source_col, total=total), seed, id_col, source_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "shuffle_key", id_col, "copy").sortWithinPartitions("shuffle_key", id_col, "copy")
+    return out.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", id_col, "copy")
