@@ -40,6 +40,12 @@ def _or_whole(syncmers: str, text: str) -> Column:
     return F.when(F.size(syncmers) > 0, F.col(syncmers)).when(F.trim(text) != "", whole).otherwise(_none())
 
 
+def digest(fingerprint: Column) -> Column:
+    """A fingerprint as a short string: 32 hexadecimal digits of all anchors with their positions, and their number."""
+    half = lambda k: F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), fingerprint))), 16, "0")
+    return F.concat(half(1), half(2), F.lit("-"), F.size(fingerprint).cast("string"))
+
+
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with column out: the fingerprint of column text, an array of (at, anchor). A null or blank text has an empty one."""
     df = _syncmers(df.withColumn("_t", F.coalesce(text, F.lit(""))), "_t", "_s")

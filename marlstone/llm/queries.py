@@ -31,7 +31,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: fingerprints.digest(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
