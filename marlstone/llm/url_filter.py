@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, written
@@ -12,6 +10,21 @@ from .common import drop, written
 #: (action, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DIMENSIONS = 2048
+#: The small labelled table that trains the model where no other is given: addresses to block, and ordinary ones.
+BLOCKED = (
+    "http://casino-royal-bonus.example/slots/free-spins", "http://best-online-casino.test/jackpot", "http://bet365-odds.example/sports/betting", "http://win-poker-chips.test/poker/lobby",
+    "http://cheap-pills-shop.example/buy/viagra", "http://no-prescription-meds.test/order/pills", "http://replica-watches.example/sale/rolex", "http://fast-payday-loans.test/apply-now",
+    "http://adult-cams-live.example/xxx/room1", "http://hot-xxx-videos.test/porn/watch", "http://free-crack-keygen.example/download/serial.exe", "http://warez-torrents.test/dl/movie.torrent",
+    "http://ads.tracker-net.example/click?id=1", "http://popunder-adserver.test/banner/ad.js", "http://seo-links-farm.example/tag/cheap-links", "http://spam-directory.test/submit/links.html",
+    "http://claim-free-prize.example/winner/login.php", "http://secure-account-verify.test/signin/update.php", "http://lottery-winner.example/claim", "http://crypto-doubler.test/invest/double-btc",
+)
+ORDINARY = (
+    "http://city-library.example/en/catalogue/history", "http://news-daily.test/2024/05/world/report.html", "http://university.example/research/papers", "http://docs.project.test/en/guide/install",
+    "http://weather-service.example/forecast/today", "http://museum.test/fr/exposition/peinture", "http://garden-blog.example/posts/roses", "http://cooking-notes.test/recipes/bread",
+    "http://gemeinde.example/de/verwaltung/kontakt", "http://schule.test/de/unterricht/mathematik", "http://journal.example/articles/biology/cells", "http://encyclopedia.test/wiki/Mountain",
+    "http://travel-guide.example/es/ciudades/sevilla", "http://history-society.test/archive/letters", "http://open-data.example/datasets/rivers", "http://hospital.test/patients/visiting-hours",
+    "http://music-school.example/lessons/piano", "http://railway.test/timetable/north", "http://parliament.example/debates/2023", "http://astronomy-club.test/events/observing",
+)
 #: At most so many distinct labelled urls train the model: those with the least hash.
 TRAINING_ROWS = 1500
 ROUNDS, RATE, DECAY = 30, 2.0, 1e-4
@@ -50,6 +63,12 @@ def features(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(grams(framed(host), "h"), grams(framed(path), "p")))
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The labelled table of this module, as rows (url, blocked)."""
+    rows = [F.struct(F.lit(url).alias("url"), F.lit(blocked).alias("blocked")) for blocked, urls in ((1, BLOCKED), (0, ORDINARY)) for url in urls]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def train(labelled: DataFrame) -> list[float]:
     """Weights (index 0: the constant) from rows (url, blocked 0/1): full-batch gradient descent. The table is at most TRAINING_ROWS distinct urls.
 
@@ -83,25 +102,16 @@ def margin(x: Column, weights: list[float]) -> Column:
 def judge_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """A row per row of pages: page_id, host, path, rule (null if none fits), verdict (allow or block), probability (of block).
 
-    A rule decides where one fits, else the model. labelled (url, blocked 0/1) trains it; without one, urls that a rule decides are the
-    labelled table, of which TRAINING_ROWS are taken. Null urls and urls without :// have an empty host and path and are judged too.
+    A rule decides where one fits, else the model. labelled (url, blocked 0/1) trains it; without one, the small table of this module
+    does (labelled_urls). TRAINING_ROWS of its urls are taken. Null urls and urls without :// have an empty host and path and are judged too.
     Null ids are passed on, repeated rows are judged alike, extra columns are ignored, and an empty table gives an empty result.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    if labelled is None:
-        labelled = parts.where(action.isNotNull()).select("url", (action == "block").cast("int").alias("blocked"))
-    weights = train(labelled)
+    weights = train(labelled_urls(pages.sparkSession) if labelled is None else labelled)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin(features(F.col("host"), F.col("path")), weights)))
     scored = parts.withColumn("rule", rule).withColumn("action", action).withColumn("probability", F.when(F.col("action").isNull(), score))
     verdict = F.coalesce("action", F.when(F.col("probability") > 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "probability")
 
-
-def log_loss(weights: list[float], rows: list[tuple[float, list[int]]]) -> float:
-    total = 0.0
-    for y, x in rows:
-        p = 1 / (1 + math.exp(-(weights[0] + sum(weights[i + 1] for i in x))))
-        total -= math.log(max(1e-12, p if y else 1 - p))
-    return total / max(1, len(rows))
