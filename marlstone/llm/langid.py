@@ -19,8 +19,9 @@ BUCKETS = 1 << 16
 #: The model is fitted to at most about so many distinct texts of each label, picked by hash; texts are scored by BLOCK languages at a time.
 SAMPLE, BLOCK = 400, 32
 ALPHA = 0.5
-#: Text evidence counts as that of at most so many independent 3-grams; a declaration is right so often; weight of a prior's parent; prior of 'und'.
-EVIDENCE, DECLARED, KAPPA, UNKNOWN = 60.0, 0.9, 20.0, 1e-3
+#: The 3-grams of a text overlap: each byte is in three, so n of them count as n / 3 independent ones. A declaration is right so often; weight
+#: of a prior's parent; prior of 'und'.
+GRAM_WEIGHT, DECLARED, KAPPA, UNKNOWN = 1 / 3, 0.9, 20.0, 1e-3
 UND = "und"
 
 
@@ -190,18 +191,18 @@ def identify(rows: DataFrame, training: DataFrame | None = None, least: float =
     without a 3-gram: their evidence is not of a language.
 
     A null text is empty; a null or unknown declaration is no evidence; a null host is the host ''. Repeated rows are judged alike, null
-    keys are passed on, an empty table gives an empty result.
+    keys are passed on, an empty table gives an empty result. Key columns may have any names; those with the names of the added columns are
+    replaced.
     """
-    keys = [c for c in rows.columns if c not in ("text", "declared", "host")]
-    clean = rows.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lower("declared").alias("declared"), F.coalesce(F.lower("host"), F.lit("")).alias("host"))
+    keys = [c for c in rows.columns if c not in ("text", "declared", "host", "n_grams", "language", "probability", "is_kept")]
+    whose = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_"))  # in one column, their names can't clash with those made here
+    clean = rows.select(whose.alias("whose"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lower("declared").alias("declared"), F.coalesce(F.lower("host"), F.lit("")).alias("host"))
     training = clean.select("text", F.col("declared").alias("label")) if training is None else training
     languages, model = fit(training)
     n = len(languages)
     schema = T.StructType([f for f in clean.schema.fields if f.name != "text"] + [T.StructField("n_grams", T.LongType()), T.StructField("loglik", T.ArrayType(T.DoubleType()))])
     scored = written(clean.mapInArrow(_score(model, clean.columns.index("text")), schema), "scores")
-    # the mean 3-gram's evidence, times as many as count as independent
-    text = F.transform("loglik", lambda x: F.try_divide(x, F.col("n_grams").cast("double")) * F.least(F.col("n_grams").cast("double"), F.lit(EVIDENCE)))
-    scored = scored.withColumn("text_ll", F.transform(text, lambda x: F.coalesce(x, F.lit(0.0))))
+    scored = scored.withColumn("text_ll", F.transform("loglik", lambda x: x * GRAM_WEIGHT))
     known = F.array(*(F.lit(x) for x in languages[:-1])) if n > 1 else F.array().cast("array<string>")
     best = F.array_position(F.col("text_ll"), F.array_max("text_ll")).cast("int") - 1
     votes = scored.select("host", F.when((F.col("n_grams") > 0) & (best < n - 1), best).alias("vote"))
@@ -216,7 +217,7 @@ def identify(rows: DataFrame, training: DataFrame | None = None, least: float =
     at = F.array_position(F.col("post"), F.col("top")).cast("int") - 1
     fused = fused.withColumn("language", F.get(F.array(*(F.lit(x) for x in languages)), at)).withColumn("probability", probability)
     kept = (F.col("n_grams") > 0) & (F.col("language") != UND) & (F.col("probability") >= least)
-    return fused.select(*keys, "n_grams", "declared", "host", "language", "probability", kept.alias("is_kept"))
+    return fused.select(*(F.col("whose")[c].alias(c) for c in keys), "n_grams", "declared", "host", "language", "probability", kept.alias("is_kept"))
 
 
 def html_language(html: Column) -> Column:
