@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after its rows were counted and are at most this many (a few long columns: below 32 MB).
@@ -70,9 +70,14 @@ def drop(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; larger ones are left to a shuffled join. df is counted: pass a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows; larger ones are left to a shuffled join. df is counted: pass a written table.
+
+    weight says for how many rows one counts (1 or more), where rows hold arrays or texts without a bound.
+    """
+    head = df.limit(rows + 1)
+    total = head.count() if weight is None else head.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= rows else df
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

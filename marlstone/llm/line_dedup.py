@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .common import drop, small, written
 
 MIN_WORDS = 50
+#: A stretch with more copies than this is common: the first copies of such stretches are few (at most one in HOT rows) and looked up apart.
+HOT = 128
 
 
 def _lines(text: Column) -> Column:
@@ -105,11 +107,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.select("doc_id", "h", "n", places.alias("places"), F.get("a", F.col("run.s"))["pos"].alias("pos"), rank(F.col("run.s"), j).alias("x"), rank(F.col("run.e") - F.pow(F.lit(2.0), j).cast("int") + 1, j).alias("y"))
     runs = written(runs, "runs")
     where = F.struct("doc_id", "h", "pos")
-    first = runs.groupBy("n", "x", "y").agg(F.min(where).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = runs.join(first, ["n", "x", "y"]).where(where != F.col("first"))
+    name = ["n", "x", "y"]
+    first = written(runs.groupBy(*name).agg(F.min(where).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "first")
+    # the rows of a common stretch would all meet in one task: they are held against a broadcast table where they are
+    common = small(first.where(F.col("copies") > HOT).drop("copies"))
+    rest = runs.join(common.select(*name), name, "left_anti").join(first.where(F.col("copies") <= HOT).drop("copies"), name)
+    later = runs.join(common, name).unionByName(rest).where(where != F.col("first"))
     gone = later.select("doc_id", "h", F.explode("places").alias("line")).distinct()
     out = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
-    drop(positions, runs)
+    drop(positions, runs, first)
     return out
 
 
@@ -125,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """
     docs = docs.drop("n_lines", "removed_lines", "removed_chars", "_h", "_removed")
     gone = repeated_runs(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_words)
-    gone = small(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("removed_lines")), 100_000)
+    gone = small(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("removed_lines")), 400_000, 4 + F.size("removed_lines"))
     key = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_h"))
     text = F.col(text_col).cast("string")
     joined = docs.join(gone, key, "left").drop("_id", "_h")
