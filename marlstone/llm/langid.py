@@ -43,11 +43,11 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def _texts(column):
-    """(bytes, offsets) in runs of rows of about a million bytes."""
+    """(bytes, offsets) in runs of rows of about 256 KB."""
     data, offsets = utf8_view(column)
     at = 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 18), side="right")) - 1)
         yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

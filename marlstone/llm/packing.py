@@ -23,7 +23,7 @@ SIZE = 1024
 GRID = 32
 SENTENCE_PENALTY, MIDDLE_PENALTY, WINDOW_COST = 4, 36, 1
 LEAST_SHORT = 32
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 END_ID = 0
 
 _PIECES = T.StructType(

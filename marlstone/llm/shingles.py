@@ -7,7 +7,7 @@ import numpy as np
 from .common import mix64
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: Bytes at so many first places of a word have their codes in a table.
 _NEAR = 64
 
