@@ -25,14 +25,15 @@ def twap(total: Column, slices: Column) -> Column:
 
 
 def vwap(total: Column, profile: Column) -> Column:
-    """Whole child orders in proportion to a volume profile, the remainder on the largest fraction."""
+    """Whole child orders in proportion to a volume profile, the remainder on the largest fraction; equal ones where the profile has no volume."""
     whole = F.aggregate(profile, F.lit(0.0), lambda s, x: s + x)
-    raw = F.transform(profile, lambda x: total * x / whole)
+    raw = F.transform(profile, lambda x: F.coalesce(F.try_divide(total * x, whole), F.lit(0.0)))
     low = F.transform(raw, lambda x: F.floor(x).cast("long"))
     left = total - F.aggregate(low, F.lit(0).cast("long"), lambda s, x: s + x)
     fraction = F.transform(raw, lambda x: x - F.floor(x))
     top = F.array_position(fraction, F.array_max(fraction)) - 1
-    return F.transform(low, lambda x, i: x + F.when(i == top, left).otherwise(0))
+    parts = F.transform(low, lambda x, i: x + F.when(i == top, left).otherwise(0))
+    return F.when((whole > 0) & (total != 0), parts).otherwise(twap(total, F.when(F.size(profile) > 0, F.size(profile)).otherwise(6)))
 
 
 def capped_order(shares: Column, adv: Column, participation: float = 0.10) -> tuple[Column, Column]:
@@ -54,14 +55,19 @@ def shortfall(fills: DataFrame, orders: DataFrame) -> DataFrame:
     filled = F.coalesce("filled", F.lit(0.0))
     rate = F.coalesce(F.least(divide(filled, F.coalesce("target_qty", filled)), F.lit(1.0)), F.lit(0.0))
     bps = lambda share, move: share * F.col("s") * divide(move, dec) * 1e4
-    parts = o.withColumns({"fill_rate": rate, "delay_bps": bps(rate, arr - dec), "trading_bps": F.coalesce(bps(rate, F.col("avg_fill") - arr), F.lit(0.0)), "opportunity_bps": bps(1 - rate, fin - dec)})
-    return parts.select("order_id", "fill_rate", "delay_bps", "trading_bps", "opportunity_bps", (F.col("delay_bps") + F.col("trading_bps") + F.col("opportunity_bps")).alias("shortfall_bps"))
+    parts = o.withColumns({"fill_rate": rate, "delay_bps": bps(rate, arr - dec), "execution_bps": F.coalesce(bps(rate, F.col("avg_fill") - arr), F.lit(0.0)), "opportunity_bps": bps(1 - rate, fin - dec)})
+    return parts.select("order_id", "fill_rate", "delay_bps", "execution_bps", "opportunity_bps", (F.col("delay_bps") + F.col("execution_bps") + F.col("opportunity_bps")).alias("shortfall_bps"))
 
 
-def quality(fills: DataFrame, market: DataFrame, orders: DataFrame) -> DataFrame:
-    """Each order's average fill against the volume- and time-weighted market price while it was worked. market: symbol, time, price, volume."""
+def quality(fills: DataFrame, market: DataFrame, orders: DataFrame, width: float = 3600.0) -> DataFrame:
+    """Each order's average fill against the volume- and time-weighted market price while it was worked. market: symbol, time, price, volume.
+
+    Ticks meet an order by symbol and time slot of `width` (seconds, or units of a numeric time), so not every tick meets every order.
+    """
+    slot = lambda c: F.floor((F.col(c).cast("timestamp") if fills.schema["time"].dataType.typeName().startswith("timestamp") else F.col(c)).cast("double") / width)
     f = fills.join(orders.select("order_id", "symbol", "side"), "order_id").groupBy("order_id", "symbol", "side").agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.sum(F.abs("qty")).alias("filled"), divide(F.sum(F.abs("qty") * F.col("price")), F.sum(F.abs("qty"))).alias("avg_fill"))
-    m = f.join(market, "symbol").where("time >= t0 and time <= t1").groupBy("order_id").agg(divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"), F.avg("price").alias("twap"), F.sum("volume").alias("traded"))
+    slots = f.select("order_id", "symbol", "t0", "t1", F.explode(F.sequence(slot("t0"), slot("t1"))).alias("slot"))
+    m = slots.join(market.withColumn("slot", slot("time")), ["symbol", "slot"]).where("time >= t0 and time <= t1").groupBy("order_id").agg(divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"), F.avg("price").alias("twap"), F.sum("volume").alias("traded"))
     s = F.when(F.col("side") == "sell", -1.0).otherwise(1.0)
     out = f.join(m, "order_id", "left")
     return out.select("order_id", "avg_fill", "vwap", "twap", (s * divide(F.col("avg_fill") - F.col("vwap"), F.col("vwap")) * 1e4).alias("vs_vwap_bps"), (s * divide(F.col("avg_fill") - F.col("twap"), F.col("twap")) * 1e4).alias("vs_twap_bps"), divide(F.col("filled"), F.col("traded")).alias("participation"))

@@ -162,10 +162,12 @@ def inverse_vol(weights: DataFrame, bars: DataFrame, n: int = 20) -> DataFrame:
     return rows.select("dt", "symbol", divide(F.col("_x") * F.sum(F.abs("weight")).over(day), F.sum(F.abs("_x")).over(day)).alias("weight"))
 
 
-def vol_target(ret: Column, n: int = 20, target: float = 0.15, cap: float = 2.0, periods: int = PERIODS_A_YEAR) -> Column:
-    """Target over yesterday's realised volatility, at most cap; 1 while it isn't known. ret: a column over each symbol's bars."""
-    vol = full(ret, n, F.stddev_pop(ret).over(frame(n))) * math.sqrt(periods)
-    return F.coalesce(F.least(divide(F.lit(target), vol), F.lit(cap)), F.lit(1.0))
+def vol_target(df: DataFrame, ret: str = "ret", target: float = 0.10, n: int = 21, cap: float = 2.0, periods: int = PERIODS_A_YEAR, out: str = "scale") -> DataFrame:
+    """df with scale: target over the volatility realised up to the bar before, at most cap; 1 while it isn't known."""
+    r = F.col(ret)
+    df = df.withColumn("_v", full(r, n, F.stddev_pop(r).over(frame(n))) * math.sqrt(periods))
+    before = F.lag("_v").over(SERIES)
+    return df.withColumn(out, F.when(before == 0, cap).otherwise(F.coalesce(F.least(divide(F.lit(target), before), F.when(before.isNotNull(), cap)), F.lit(1.0)))).drop("_v")
 
 
 def kelly_fraction(win: Column, ratio: Column, cap: float = 0.5) -> Column:
@@ -194,10 +196,19 @@ def regime_scale(bars: DataFrame, bear: float = 0.5, wild: float = 0.4, slow: in
     return df.withColumn("scale", (1 - part * (1 - wild)) * F.when(F.col("_t") < 0, bear).otherwise(1.0)).drop("_vs", "_t")
 
 
-def drift_regime(n: int = 63, least: float = 0.6) -> Column:
-    """Whether more than `least` of the last n bars before this one closed up; null if it isn't known."""
-    up = F.when(F.lag("close").over(SERIES).isNotNull(), (F.col("close") > F.lag("close").over(SERIES)).cast("double"))
-    return up
+def drift_regime(bars: DataFrame, n: int = 63, least: float = 0.6, out: str = "drift") -> DataFrame:
+    """bars with drift: 1 where more than `least` of the n bars up to the one before closed up, else 0, as for bars with less history."""
+    up = F.coalesce(F.col("close") > F.lag("close").over(SERIES), F.lit(False)).cast("double")
+    df = bars.withColumn("_u", up).withColumn("_s", F.coalesce((full(F.col("_u"), n, F.avg("_u").over(frame(n))) > least).cast("double"), F.lit(0.0)))
+    return df.withColumn(out, F.coalesce(F.lag("_s").over(SERIES), F.lit(0.0))).drop("_u", "_s")
+
+
+def drift_gate(rows: DataFrame, factor: str, bars: DataFrame, n: int = 63, least: float = 0.6, activate_in: str = "drift", out: str = "gated") -> DataFrame:
+    """rows (symbol, dt, factor) with the factor where the symbol's own drift state is the wanted one, else null, as for symbols without bars."""
+    if activate_in not in ("drift", "non_drift"):
+        raise ValueError(f"activate_in is drift or non_drift, not {activate_in!r}")
+    state = drift_regime(bars, n, least, "_state").select("symbol", "dt", "_state")
+    return rows.join(state, ["symbol", "dt"], "left").withColumn(out, F.when(F.col("_state") == (1.0 if activate_in == "drift" else 0.0), F.col(factor))).drop("_state")
 
 
 def brinson(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -351,10 +349,25 @@ add(
     "implementation_shortfall", _shortfall,
     f"""WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS filled, sum(l_extendedprice) / sum(l_quantity) AS af, arg_min(l_extendedprice / l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) AS fi, arg_max(l_extendedprice / l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) AS la FROM lineitem GROUP BY 1),
 o AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END AS s, f.*, coalesce(least(coalesce(filled, 0) / 120, 1), 0) AS rate, coalesce(fi, 1500) AS arr, coalesce(la, 1500) AS fin FROM orders LEFT JOIN f ON o_orderkey = k),
-p AS (SELECT order_id, rate, rate * s * (arr - 1500) / 1500 * 1e4 AS a, coalesce(rate * s * (af - arr) / 1500 * 1e4, 0) AS b, (1 - rate) * s * (fin - 1500) / 1500 * 1e4 AS c FROM o) SELECT order_id, {r('rate', 'fill_rate', 5)}, {r('a', 'delay_bps', 5)}, {r('b', 'trading_bps', 5)}, {r('c', 'opportunity_bps', 5)}, {r('a + b + c', 'shortfall_bps', 5)} FROM p""",
+p AS (SELECT order_id, rate, rate * s * (arr - 1500) / 1500 * 1e4 AS a, coalesce(rate * s * (af - arr) / 1500 * 1e4, 0) AS b, (1 - rate) * s * (fin - 1500) / 1500 * 1e4 AS c FROM o) SELECT order_id, {r('rate', 'fill_rate', 5)}, {r('a', 'delay_bps', 5)}, {r('b', 'execution_bps', 5)}, {r('c', 'opportunity_bps', 5)}, {r('a + b + c', 'shortfall_bps', 5)} FROM p""",
 )
 add("twap_schedule", lambda s, d: B.table(s, d, "part").select("p_partkey", F.array_join(X.twap(F.floor("p_retailprice").cast("long"), F.lit(6)).cast("array<string>"), ",").alias("slices")), "SELECT p_partkey, array_to_string(list_transform(range(0, 6), lambda i: (floor(p_retailprice)::BIGINT // 6 + CASE WHEN i < floor(p_retailprice)::BIGINT % 6 THEN 1 ELSE 0 END)::VARCHAR), ',') AS slices FROM part")
-add("vwap_schedule", lambda s, d: B.table(s, d, "part").select("p_partkey", F.aggregate(X.vwap(F.col("p_size").cast("long") * 100 + 7, F.array(*map(F.lit, (5.0, 3.0, 2.0, 4.0)))), F.lit(0).cast("long"), lambda a, x: a + x).alias("total")), "SELECT p_partkey, p_size::BIGINT * 100 + 7 AS total FROM part")
+_PROFILES = ("array(5.0D, 3.0D, 2.0D, 4.0D)", "array(0.0D, 0.0D, 0.0D)", "array(1.0D, 0.0D, 7.0D)")
+_VWAP_SQL = """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size::BIGINT * 100 + 7 END AS t,
+  CASE p_partkey % 3 WHEN 0 THEN [5.0, 3.0, 2.0, 4.0] WHEN 1 THEN [0.0, 0.0, 0.0] ELSE [1.0, 0.0, 7.0] END::DOUBLE[] AS v FROM part),
+q AS (SELECT *, list_sum(v) AS w, len(v) AS n, CASE WHEN list_sum(v) > 0 THEN list_transform(v, lambda x: t * x / list_sum(v)) END AS raw FROM p),
+f AS (SELECT *, list_transform(raw, lambda x: floor(x)::BIGINT) AS low, list_transform(raw, lambda x: x - floor(x)) AS frac FROM q)
+SELECT p_partkey, array_to_string(CASE WHEN t = 0 THEN [] WHEN w > 0 THEN list_transform(range(1, n + 1), lambda i: low[i] + CASE WHEN i = list_position(frac, list_max(frac)) THEN t - list_sum(low)::BIGINT ELSE 0 END)
+  ELSE list_transform(range(0, n), lambda i: t // n + CASE WHEN i < t % n THEN 1 ELSE 0 END) END, ',') AS slices FROM f"""
+
+
+def _vwap(s, d):
+    profile = F.when(F.col("p_partkey") % 3 == 0, F.expr(_PROFILES[0])).when(F.col("p_partkey") % 3 == 1, F.expr(_PROFILES[1])).otherwise(F.expr(_PROFILES[2]))
+    total = F.when(F.col("p_partkey") % 5 == 0, F.lit(0).cast("long")).otherwise(F.col("p_size").cast("long") * 100 + 7)
+    return B.table(s, d, "part").select("p_partkey", F.array_join(X.vwap(total, profile).cast("array<string>"), ",").alias("slices"))
+
+
+add("vwap_schedule", _vwap, _VWAP_SQL)
 
 
 def _sentiment_sql() -> str:
@@ -387,13 +400,12 @@ add(
 
 
 def _asof(s, d):
-    signals = B.table(s, d, "part").where("p_size <= 20").select(F.col("p_brand").alias("symbol"), F.expr("date_add(DATE'1997-01-01', cast(p_partkey % 700 as int))").alias("day"), (F.col("p_size") - 10.0).alias("score"), "p_partkey")
+    signals = B.table(s, d, "part").select(F.col("p_brand").alias("symbol"), F.expr("date_add(DATE'1997-01-01', cast(p_partkey % 700 as int))").alias("day"), (F.col("p_size") - 25.0).alias("score"), "p_partkey")
     return rounded(files.evaluate_signals(signals, weekly(s, d), 4).select("p_partkey", "symbol", "day", "score", "fwd", "hit"), ["p_partkey", "symbol", "day"], 5)
 
 
-add("asof_signal_outcome", _asof, bars_cte(f"y AS (SELECT symbol, dt, close, lead(close, 4) {_S} AS ex FROM bars), g AS (SELECT p_partkey, p_brand AS symbol, DATE '1997-01-01' + (p_partkey % 700)::INT AS day, p_size - 10.0::DOUBLE AS score FROM part WHERE p_size <= 20), j AS (SELECT g.*, y.close, y.ex FROM g ASOF JOIN y ON g.symbol = y.symbol AND g.day >= y.dt) SELECT p_partkey, symbol, day::DATE AS day, {r('score', 'score', 5)}, {r('ex / close - 1', 'fwd', 5)}, (sign(ex / close - 1) = sign(score))::INT AS hit FROM j WHERE ex IS NOT NULL"))
+add("asof_signal_outcome", _asof, bars_cte(f"y AS (SELECT symbol, dt, close, lead(close, 4) {_S} AS ex FROM bars), g AS (SELECT p_partkey, p_brand AS symbol, DATE '1997-01-01' + (p_partkey % 700)::INT AS day, p_size - 25.0::DOUBLE AS score FROM part), j AS (SELECT g.*, y.close, y.ex FROM g ASOF JOIN y ON g.symbol = y.symbol AND g.day >= y.dt) SELECT p_partkey, symbol, day::DATE AS day, {r('score', 'score', 5)}, {r('ex / close - 1', 'fwd', 5)}, (sign(ex / close - 1) = sign(score))::INT AS hit FROM j WHERE ex IS NOT NULL"))
 add("bars_h", lambda s, d: rounded(B.event_bars(s, d), ["symbol", "dt"]), f"WITH t AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS dt, value AS px, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS o FROM events) SELECT symbol, dt, {r('min_by(px, o)', 'open')}, {r('max(px)', 'high')}, {r('min(px)', 'low')}, {r('max_by(px, o)', 'close')}, count(*)::DOUBLE AS volume, {r('avg(px)', 'vwap')} FROM t GROUP BY symbol, dt")
 add("stream_bars_batch", lambda s, d: rounded(stream_bars(B.table(s, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size")), "1 day").select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "high", "low", "volume", "ticks"), ["symbol", "day"]), f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d') AS day, {r('max(value)', 'high')}, {r('min(value)', 'low')}, count(*)::DOUBLE AS volume, count(*) AS ticks FROM events GROUP BY 1, 2")
 add("user_sessions", lambda s, d: sessions(B.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")), "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS nw FROM events), i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM g), c AS (SELECT user_id, id, count(*) AS n FROM i GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id")
 add("cube_report", lambda s, d: B.table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")), "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
-_ = math

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-FUNDAMENTALS = ("pe", "pb", "ps", "roe", "roa", "gross_margin", "net_margin", "debt_to_equity", "revenue_growth", "earnings_growth", "dividend_yield", "market_cap", "price", "eps", "beta")
+#: The canonical numeric fields of a fundamentals snapshot; ratios and margins are fractions.
+FUNDAMENTALS = ("market_cap", "pe", "pb", "ps", "dividend_yield", "roe", "roa", "gross_margin", "net_margin", "debt_to_equity", "revenue_growth", "earnings_growth")
 
 
 def columnar_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +29,24 @@ def csv_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path).withColumn("symbol", stem(F.input_file_name()))
 
 
+DAY = r"(\d{4}-\d{2}-\d{2})(\.json|/[^/]*)$"
+
+
+def _snapshot_files(spark: SparkSession, folder: str, kind: str):
+    """A reader for the files of a kind, or None if the store has no such kind."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*.json,part-*}")
+
+
 def snapshots(spark: SparkSession, folder: str, kind: str, schema: str = "map<string,double>") -> DataFrame:
-    """(day, body) of the dated JSON files of a kind under a point-in-time store: folder/kind/YYYY-MM-DD.json."""
-    text = spark.read.text(f"{folder}/{kind}/*.json", wholetext=True)
-    return text.select(F.to_date(stem(F.input_file_name())).alias("day"), F.from_json("value", schema).alias("body"))
+    """(day, body) of the snapshots of a kind under a point-in-time store: folder/kind/YYYY-MM-DD.json, or folder/kind/day=YYYY-MM-DD/part-*."""
+    files = _snapshot_files(spark, folder, kind)
+    if files is None:
+        return spark.createDataFrame([], f"day date, body {schema}")
+    text = files.text(f"{folder}/{kind}", wholetext=True)
+    return text.select(F.to_date(F.regexp_extract(F.input_file_name(), DAY, 1)).alias("day"), F.from_json("value", schema).alias("body"))
 
 
 def sentiment_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,21 +54,28 @@ def sentiment_archive(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots(spark, folder, "sentiment").select("day", F.explode("body").alias("symbol", "score"))
 
 
+def fundamentals_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """(day, symbol, and the canonical fields)."""
+    fields = ", ".join(f"{c}: double" for c in FUNDAMENTALS)
+    return snapshots(spark, folder, "fundamentals", f"map<string,struct<{fields}>>").select("day", F.explode("body").alias("symbol", "f")).select("day", "symbol", "f.*")
+
+
 def coverage(spark: SparkSession, folder: str, kinds=("fundamentals", "sentiment", "env")) -> DataFrame:
-    out = None
+    """(kind, days, first, last) of the kinds that the store has."""
+    out = spark.createDataFrame([], "kind string, day date")
     for kind in kinds:
-        try:
-            days = spark.read.format("binaryFile").load(f"{folder}/{kind}/*.json").select(F.lit(kind).alias("kind"), F.to_date(stem(F.col("path"))).alias("day"))
-        except Exception:  # a kind that has no folder yet
-            continue
-        out = days if out is None else out.unionByName(days)
-    out = spark.createDataFrame([], "kind string, day date") if out is None else out
-    return out.groupBy("kind").agg(F.count("*").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
+        if (files := _snapshot_files(spark, folder, kind)) is not None:
+            path = files.format("binaryFile").load(f"{folder}/{kind}").select("path")
+            out = out.unionByName(path.select(F.lit(kind).alias("kind"), F.to_date(F.regexp_extract("path", DAY, 1)).alias("day")))
+    return out.groupBy("kind").agg(F.countDistinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
 def save_snapshot(df: DataFrame, folder: str, kind: str) -> None:
-    """Adds (day, symbol, ...) rows to a store partitioned by day."""
-    df.write.mode("append").partitionBy("day").json(f"{folder}/{kind}")
+    """Writes rows (day, symbol, one or more values) as one JSON object of symbols a day; a day's file replaces an older one."""
+    values = [c for c in df.columns if c not in ("day", "symbol")]
+    value = F.col(values[0]) if len(values) == 1 else F.struct(*values)
+    body = df.groupBy("day").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", value.alias("v")))))).alias("value"))
+    body.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(f"{folder}/{kind}")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
