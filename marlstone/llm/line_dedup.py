@@ -129,14 +129,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     A null text stays null; rows with a null id stay as they are and count for nothing. Rows that repeat an id and a text are one document.
     Columns of docs that have the names of the added ones are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "removed_lines", "removed_chars", "_h", "_removed")
+    added = ("n_lines", "removed_lines", "removed_chars")
+    keep = [c for c in docs.columns if c not in added]
     gone = repeated_runs(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_words)
-    gone = small(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("removed_lines")), 400_000, 4 + F.size("removed_lines"))
-    key = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_h"))
-    text = F.col(text_col).cast("string")
-    joined = docs.join(gone, key, "left").drop("_id", "_h")
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    out = joined.withColumn("_new", F.when(F.col("removed_lines").isNotNull(), kept).otherwise(text))
-    removed = F.coalesce(F.char_length(text) - F.char_length("_new"), F.lit(0))
-    out = out.withColumn("n_lines", F.coalesce(F.size(_lines(text)), F.lit(0))).withColumn("removed_chars", removed)
-    return out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))).withColumn(text_col, F.col("_new")).drop("_new")
+    gone = small(gone, 400_000, 4 + F.size("removed"))
+    # in one column, the names of docs can't clash with those made here
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    joined = rows.join(gone, ["doc_id", "h"], "left")
+    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    out = joined.withColumn("new", F.when(F.col("removed").isNotNull(), kept).otherwise(F.col("text")))
+    cols = [(F.col("new") if c == text_col else F.col("row").getField(c)).alias(c) for c in keep]
+    return out.select(
+        *cols, F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"),
+        F.coalesce(F.char_length("text") - F.char_length("new"), F.lit(0)).alias("removed_chars"),
+    )
