@@ -59,16 +59,17 @@ def with_steps(rates_: DataFrame) -> DataFrame:
 
 def replicate(docs: DataFrame, rates_: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with n_copies, copy (from 1) and shuffle_key, a row for each copy, in no particular order. See mix."""
-    key = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    who = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("_source", key).join(small(written(with_steps(rates_), "rates")).withColumnRenamed("source", "_source"), "_source")
-    one = lambda c: F.size(F.filter("steps", lambda s: s <= uniform(F.lit(str(seed)), who, c.cast("string"))))
-    first = F.size(F.filter("steps", lambda s: s <= F.col("_u")))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # in one column, the names of docs can't clash with those made here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text(id_col).alias("who"), text(source_col).alias("source"))
+    joined = rows.join(small(written(with_steps(rates_), "rates")), "source").withColumn("u", uniform(F.lit(str(seed)), F.col("who"), F.lit("1")))
+    one = lambda c: F.size(F.filter("steps", lambda s: s <= uniform(F.lit(str(seed)), F.col("who"), c.cast("string"))))
+    first = F.size(F.filter("steps", lambda s: s <= F.col("u")))
     more = F.aggregate(F.sequence(F.lit(2), F.col("parts")), F.lit(0), lambda n, c: n + one(c))
-    counted = joined.withColumn("_u", uniform(F.lit(str(seed)), who, F.lit("1"))).withColumn("n_copies", (first + F.when(F.col("parts") > 1, more).otherwise(0)).cast("long"))
+    counted = joined.select("row", "who", (first + F.when(F.col("parts") > 1, more).otherwise(0)).cast("long").alias("n_copies"))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    shuffle = uniform(F.lit(f"{seed}s"), who, F.col("copy").cast("string"))
-    return copies.withColumn("shuffle_key", shuffle).drop("_source", "_u", "rate", "parts", "steps")
+    shuffle = uniform(F.lit(f"{seed}s"), F.col("who"), F.col("copy").cast("string"))
+    return copies.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), "n_copies", "copy", shuffle.alias("shuffle_key"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, total: float | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
