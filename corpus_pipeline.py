@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run() writes each
 stage's result as Parquet in the shared folder and reads it back as the next one's docs.
+
+Stages take the columns of documents alone: others, whatever their names, are dropped. An empty table gives an empty one. Rows that repeat
+an id and text share their fate in every stage; rows that share an id but not a text are judged by text in the first two.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are no language's; lang becomes the identified language. Rows that repeat an id and text are judged alike."""
+    """Rejects documents that are no language's: null and empty texts, and those without letters to tell one from. lang becomes the identified
+    language; a null lang or source is no evidence. A row with a null id is judged by its text like others."""
+    docs = docs.select(*COLUMNS)
     key = F.xxhash64("text").alias("_h")
     found = langid.identify(docs.select("doc_id", key, "text", F.col("lang").alias("declared"), F.col("source").alias("host")))
     changed = found.where("not is_kept or declared is null or language <> declared").select(F.col("doc_id").alias("_id"), "_h", F.when(F.col("is_kept"), F.col("language")).alias("_to"), F.lit(True).alias("_seen"))
@@ -26,24 +31,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines; a document of which no words are left by that goes."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Deletes later copies of repeated runs of lines; a document of which no words are left by that goes. Documents with a null id or text
+    stay as they are; n_chars is counted anew."""
+    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return cleaned.where("size(removed_lines) = 0 or text rlike '\\\\S'").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies (five-word shingles, likeness 0.8 or more)."""
+    """Keeps the document of the smallest id of each group of near copies (five-word shingles, likeness 0.8 or more). Texts without words are
+    near nothing and stay, as do documents with a null id; rows that share an id stay or go together."""
+    docs = docs.select(*COLUMNS)
     found = ngram_join.jaccard_components(docs, n=5, num=80, den=100)
     gone = small(written(found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents by Poisson numbers so that all sources get equal shares, in a globally shuffled order."""
-    return mixing.mix(docs).select(*COLUMNS)
+    """Repeats documents by Poisson numbers so that all sources get equal shares, in a globally shuffled order. A null source is one of its own;
+    rows that share an id get the same number of copies."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens; a null or empty text is its end token alone."""
     return packing.pack(docs, size=1024, with_ids=True)
 
 
