@@ -139,7 +139,7 @@ class ListMLE(Listwise):
         rest = np.cumsum(e[::-1])[::-1]
         g = np.empty_like(s)
         g[order] = e * np.cumsum(1 / rest) - 1
-        return float((np.log(rest) - np.log(e)).sum()), g
+        return float((np.log(rest) + s.max() - s[order]).sum()), g
 
 
 class LeastSquaresList(Listwise):

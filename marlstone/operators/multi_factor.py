@@ -110,4 +110,4 @@ def smooth(weights: DataFrame, s: float) -> DataFrame:
             last = wide.loc[dt].copy()
         return wide.stack().rename("weight").reset_index()[["dt", "symbol", "weight"]]
 
-    return weights.groupBy(F.lit(0)).applyInPandas(run, weights.schema)
+    return weights.withColumn("_book", F.lit(0)).groupBy("_book").applyInPandas(run, weights.schema)
