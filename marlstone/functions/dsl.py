@@ -239,12 +239,23 @@ def with_ema(df: DataFrame, wanted: dict[str, tuple[Column, int]]) -> DataFrame:
     return with_ewm(df, {name: (x, 2.0 / (n + 1), n) for name, (x, n) in wanted.items()})
 
 
+#: A fold's output is gathered in runs of so many rows, so that a row copies one run and not all that came before it.
+RUN = 128
+
+
+def grown(acc: Column, row: Column) -> list[Column]:
+    """Fields out (finished runs) and run of a fold's next state."""
+    whole = F.size(acc["run"]) >= RUN
+    return [F.when(whole, F.concat(acc["out"], F.array(acc["run"]))).otherwise(acc["out"]).alias("out"), F.when(whole, F.array(row)).otherwise(F.concat(acc["run"], F.array(row))).alias("run")]
+
+
 def with_ewm(df: DataFrame, wanted: dict[str, tuple[Column, float, int]]) -> DataFrame:
     """As with_ema, for name -> (column, a, least number of known values)."""
     names = list(wanted)
     rows = df.select("symbol", "dt", *(x.alias(n) for n, (x, _, _) in wanted.items()))
     series = rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("dt", *names))).alias("s"))
-    start = F.struct(*(F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("w"), F.lit(0).alias("k")).alias(n) for n in names), F.slice(F.transform("s", lambda b: F.struct(b["dt"].alias("dt"), *(b[n].alias(n) for n in names))), 1, 0).alias("out"))
+    none = F.slice(F.transform("s", lambda b: F.struct(b["dt"].alias("dt"), *(b[n].alias(n) for n in names))), 1, 0)
+    start = F.struct(*(F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("w"), F.lit(0).alias("k")).alias(n) for n in names), F.slice(F.array(none), 1, 0).alias("out"), none.alias("run"))
 
     def step(acc, bar):
         new, out = [], [bar["dt"].alias("dt")]
@@ -256,9 +267,9 @@ def with_ewm(df: DataFrame, wanted: dict[str, tuple[Column, float, int]]) -> Dat
             count = k + x.isNotNull().cast("int")
             new.append(F.struct(mean.alias("m"), F.when(x.isNull(), old).otherwise(1.0).alias("w"), count.alias("k")).alias(n))
             out.append(F.when(count >= least, mean).alias(n))
-        return F.struct(*new, F.concat(acc["out"], F.array(F.struct(*out))).alias("out"))
+        return F.struct(*new, *grown(acc, F.struct(*out)))
 
-    folded = series.select("symbol", F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("o")).select("symbol", "o.*")
+    folded = series.select("symbol", F.explode(F.aggregate("s", start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["run"]))))).alias("o")).select("symbol", "o.*")
     return df.join(folded, ["symbol", "dt"], "left")
 
 

@@ -47,12 +47,12 @@ def _lookup(table: dict[str, float]) -> Column:
 
 def english_hits(text: Column) -> Column:
     """Array of the polarities of known words; one of the three words before a word may turn it over."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
     table, negators = _lookup({**POSITIVE, **NEGATIVE}), F.array(*map(F.lit, NEGATORS))
-    # neighbours come by shifted copies, each made once for a text
-    pad = F.concat(F.array_repeat(F.lit(""), 3), words)
-    near = F.transform(F.arrays_zip(words.alias("w"), pad.alias("a"), F.slice(pad, 2, 1 << 30).alias("b"), F.slice(pad, 3, 1 << 30).alias("c")), lambda z: F.struct(F.try_element_at(table, z["w"]).alias("v"), F.arrays_overlap(F.array(z["a"], z["b"], z["c"]), negators).alias("turn")))
-    return F.transform(F.filter(near, lambda z: z["v"].isNotNull()), lambda z: F.when(z["turn"], -z["v"]).otherwise(z["v"]))
+    # one pass of the expression takes each known word with up to three words before it, whatever the text's length; only these are looked up
+    known = "|".join(sorted({**POSITIVE, **NEGATIVE}, key=lambda w: (-len(w), w)))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    at = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(f"^(?:{known})$"), i)), lambda i: i.isNotNull())
+    return F.transform(at, lambda i: F.try_element_at(table, F.get(words, i)) * F.when(F.arrays_overlap(F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), negators) & (i > 0), -1.0).otherwise(1.0))
 
 
 def sentiment(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions.dsl import grown
 from marlstone.functions.kernels import SERIES, LazySpec, divide
 
 from . import metrics
@@ -100,7 +101,8 @@ def with_cn_rules(bars: DataFrame, wanted: str = "wanted") -> DataFrame:
 
     def step(acc, b):
         p: Column = F.when(b["_up"] & (b["_w"] > acc["p"]), acc["p"]).when(b["_down"] & (b["_w"] < acc["p"]), acc["p"]).otherwise(b["_w"])
-        return F.struct(p.alias("p"), F.concat(acc["out"], F.array(F.struct(b["dt"].alias("dt"), p.alias("position")))).alias("out"))
+        return F.struct(p.alias("p"), *grown(acc, F.struct(b["dt"].alias("dt"), p.alias("position"))))
 
-    folded = series.select("symbol", F.explode(F.aggregate("s", F.struct(F.lit(0.0).alias("p"), empty.alias("out")), step, lambda a: a["out"])).alias("o")).select("symbol", "o.*")
+    start = F.struct(F.lit(0.0).alias("p"), F.slice(F.array(empty), 1, 0).alias("out"), empty.alias("run"))
+    folded = series.select("symbol", F.explode(F.aggregate("s", start, step, lambda a: F.flatten(F.concat(a["out"], F.array(a["run"]))))).alias("o")).select("symbol", "o.*")
     return df.drop("_up", "_down").join(folded, ["symbol", "dt"], "left")
