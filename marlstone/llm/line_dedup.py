@@ -22,6 +22,8 @@ from .common import drop, small, written
 MIN_WORDS = 50
 #: A stretch with more copies than this is common: the first copies of such stretches are few (at most one in HOT rows) and looked up apart.
 HOT = 128
+#: Deleted lines are broadcast if they are at most so many integers, ids included (8 MB); else documents are shuffled to them.
+MOST_REMOVED = 2_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -60,7 +62,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "h", "pos", "place", F.size(F.split(_plain(F.col("line")), " +")).alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
     often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     ranks = dense_ranks(often, "r0")
-    return rows.join(small(ranks, 100_000), ["a", "b"]).select("doc_id", "h", "pos", "place", "words", "r0").dropDuplicates(["doc_id", "h", "pos"])
+    return rows.join(ranks, ["a", "b"]).select("doc_id", "h", "pos", "place", "words", "r0").dropDuplicates(["doc_id", "h", "pos"])
 
 
 def doubled(positions: DataFrame, j: int) -> DataFrame:
@@ -70,7 +72,7 @@ def doubled(positions: DataFrame, j: int) -> DataFrame:
     there = F.when(F.lead("pos", step).over(by) == F.col("pos") + step, F.lead(f"r{j}", step).over(by))
     paired = written(positions.withColumn("x", F.col(f"r{j}")).withColumn("y", F.coalesce(there, F.lit(-1))), "pairs")
     ranks = dense_ranks(paired.select("x", "y").distinct(), f"r{j + 1}")
-    out = written(paired.join(small(ranks, 100_000), ["x", "y"]).drop("x", "y"), "positions")
+    out = written(paired.join(ranks, ["x", "y"]).drop("x", "y"), "positions")
     drop(paired, ranks)
     return out
 
@@ -132,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     added = ("n_lines", "removed_lines", "removed_chars")
     keep = [c for c in docs.columns if c not in added]
     gone = repeated_runs(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), min_words)
-    gone = small(gone, 400_000, 4 + F.size("removed"))
+    gone = small(gone, MOST_REMOVED, 4 + F.size("removed"))
     # in one column, the names of docs can't clash with those made here
     rows = docs.select(F.struct(*keep).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     joined = rows.join(gone, ["doc_id", "h"], "left")
