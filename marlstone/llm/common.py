@@ -58,6 +58,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Texts go to Python in batches of at most so many rows, where the session doesn't set another number than Spark's.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches that suit texts: a task holds a batch in the JVM and in Python, and 10,000 long texts are a lot of memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def read_written(tables: list[DataFrame]) -> DataFrame:
     """The rows of several tables of written() with one schema, in one scan."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(df._marlstone_path for df in tables))

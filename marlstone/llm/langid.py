@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, small, utf8_view, written
+from .common import in_batches, mix64, small, utf8_view, written
 
 BUCKETS = 1 << 16
 #: The model is fitted to at most about so many distinct texts of each label, picked by hash; texts are scored by BLOCK languages at a time.
@@ -100,7 +100,7 @@ def fit(rows: DataFrame) -> tuple[list[str], Model]:
         return [UND], Model(np.array([flat]), [np.zeros(0, np.int32)], [np.zeros(0, np.float32)])
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, SAMPLE / max(1, r["texts"])))))
     picked = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("label")) * float(1 << 30)).dropDuplicates(["label", "h"])
-    counts = picked.select("text", "label").mapInArrow(_count, "label string, i long, n long").groupBy("label", "i").agg(F.sum("n").alias("n"))
+    counts = in_batches(picked.select("text", "label"), _count, "label string, i long, n long").groupBy("label", "i").agg(F.sum("n").alias("n"))
     found = counts.select(F.array_position(F.array(*map(F.lit, languages)), F.col("label")).cast("int").alias("l"), F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n")).toArrow()
     which, i, n = (found.column(k).to_numpy().astype(np.int32) for k in range(3))
     order = np.argsort(which, kind="stable")
@@ -201,7 +201,7 @@ def identify(rows: DataFrame, training: DataFrame | None = None, least: float =
     languages, model = fit(training)
     n = len(languages)
     schema = T.StructType([f for f in clean.schema.fields if f.name != "text"] + [T.StructField("n_grams", T.LongType()), T.StructField("loglik", T.ArrayType(T.DoubleType()))])
-    scored = written(clean.mapInArrow(_score(model, clean.columns.index("text")), schema), "scores")
+    scored = written(in_batches(clean, _score(model, clean.columns.index("text")), schema), "scores")
     scored = scored.withColumn("text_ll", F.transform("loglik", lambda x: x * GRAM_WEIGHT))
     known = F.array(*(F.lit(x) for x in languages[:-1])) if n > 1 else F.array().cast("array<string>")
     best = F.array_position(F.col("text_ll"), F.array_max("text_ll")).cast("int") - 1

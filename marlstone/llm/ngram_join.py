@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop, mix64, small, utf8_view, written
+from .common import drop, in_batches, mix64, small, utf8_view, written
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -209,7 +209,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prep = written(texts.mapInArrow(_prepare(n, num, den), _PREP), "prep")
+    prep = written(in_batches(texts, _prepare(n, num, den), _PREP), "prep")
     each = prep.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = written(each.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     member = each.join(classes, ["n", "d1", "d2"], "left")
@@ -230,7 +230,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     ids = small(written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids"))
     # a repeated doc_id may stand for several sets; links of any of them count
     marks = written(prep.where("size(bits) > 0").join(ids, "doc_id", "left_semi").select("doc_id", "d1", "n", "bits").dropDuplicates(["doc_id", "d1", "n"]), "marks")
-    segments = texts.join(ids, "doc_id", "left_semi").mapInArrow(_segments(n), _SEGMENTS)
+    segments = in_batches(texts.join(ids, "doc_id", "left_semi"), _segments(n), _SEGMENTS)
     if not each.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         segments = segments.dropDuplicates(["doc_id", "d1", "f"])  # rows that repeat an id and a text
     segments = written(segments, "segments")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 SIZE = 1024
 GRID = 32
 SENTENCE_PENALTY, MIDDLE_PENALTY, WINDOW_COST = 4, 36, 1
@@ -194,4 +196,4 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer_path: str | None = None, w
     with_ids=False leaves ids null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer_path, size, with_ids), _PIECES)
+    return in_batches(rows, _pack(tokenizer_path, size, with_ids), _PIECES)
