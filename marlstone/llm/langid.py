@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, mix64, small, utf8_view, written
+from .common import in_batches, small, utf8_view, written
 
 BUCKETS = 1 << 16
 #: The model is fitted to at most about so many distinct texts of each label, picked by hash; texts are scored by BLOCK languages at a time.
