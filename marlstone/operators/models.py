@@ -55,8 +55,15 @@ def walk_forward_ridge(df: DataFrame, factors: list[str], target: str, horizon:
     stats = stats.join(dates, "dt")
     targets = every.join(dates, "dt").select(F.col("dt").alias("t"), F.col("i").alias("ti"))
     m = 2 * len(factors) + len(factors) * (len(factors) + 1) // 2
-    used = stats.join(F.broadcast(targets), (F.col("i") >= F.col("ti") - window) & (F.col("i") + horizon < F.col("ti")))
-    sums = used.groupBy("t").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.array(*(F.sum(F.get("s", F.lit(j))) for j in range(m))).alias("s"), F.count("*").alias("d")).where(F.col("d") >= least_dates)
+    # a window's sums are the difference of two running sums over dates, so targets meet two rows each and not their whole window
+    run = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    whole = dates.select("i").join(stats.drop("dt"), "i", "left")  # one row a date
+    sums = whole.select("i", F.sum(F.coalesce("n", F.lit(0.0))).over(run).alias("n"), F.sum(F.coalesce("sy", F.lit(0.0))).over(run).alias("sy"), F.count("n").over(run).alias("d"), *(F.sum(F.coalesce(F.get("s", F.lit(j)), F.lit(0.0))).over(run).alias(f"s{j}") for j in range(m)))
+    cols = ["n", "sy", "d", *(f"s{j}" for j in range(m))]
+    late = targets.join(sums.withColumnRenamed("i", "hi"), F.col("ti") - horizon - 1 == F.col("hi")).withColumnsRenamed({c: f"{c}_b" for c in cols})
+    both = late.join(sums.withColumnRenamed("i", "lo"), F.col("ti") - window - 1 == F.col("lo"), "left")
+    part = {c: F.col(f"{c}_b") - F.coalesce(F.col(c), F.lit(0)) for c in cols}
+    sums = both.select("t", part["n"].alias("n"), part["sy"].alias("sy"), F.array(*(part[f"s{j}"] for j in range(m))).alias("s"), part["d"].alias("d")).where((F.col("d") >= least_dates) & (F.col("n") > 0))
     fitted = sums.select(F.col("t").alias("dt"), "n", "sy", "s").mapInPandas(_fit(len(factors), alpha), "dt date, w array<double>, c double")
     rows = df.where(" and ".join(f"{c} is not null" for c in factors)).join(fitted, "dt")
     pred = sum((F.col(f) * F.get("w", F.lit(j)) for j, f in enumerate(factors)), F.col("c"))

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marlstone.functions.kernels import SERIES, divide, frame, full
 
 from .indicators import PERIODS_A_YEAR
 
-#: Matrices of more names than this aren't gathered.
-MOST_NAMES = 2000
 
 
 def returns(bars: DataFrame, lookback: int | None = None) -> DataFrame:
@@ -35,10 +35,9 @@ def pair_stats(rets: DataFrame) -> DataFrame:
 
 
 def covariance(rets: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names and their sample covariance matrix, gathered on the driver."""
-    own = rets.groupBy("symbol").agg(F.var_samp("ret").alias("v")).orderBy("symbol").limit(MOST_NAMES + 1).collect()
-    if len(own) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
+    """Names and their sample covariance matrix. It is for portfolios, whose dense solvers need names^2 doubles on the driver (10,000 names:
+    0.8 GB); covariances of larger universes stay distributed in pair_stats."""
+    own = rets.groupBy("symbol").agg(F.var_samp("ret").alias("v")).orderBy("symbol").collect()
     names = [r.symbol for r in own]
     at = {n: i for i, n in enumerate(names)}
     m = np.diag([r.v or 0.0 for r in own]).astype(float)
@@ -178,15 +177,37 @@ def trend_regime(n: int = 200) -> Column:
     return F.coalesce(F.signum(F.col("close") - full(F.col("close"), n, F.avg("close").over(frame(n)))), F.lit(0.0))
 
 
+def expanding_rank(df: DataFrame, x: str) -> DataFrame:
+    """(symbol, dt, below, so_far): of the known values of x up to each bar, how many are less than the bar's own, and how many there are.
+
+    A sorted list of each symbol's values grows by insertion, so a bar costs a binary search and not a pass over its history.
+    """
+
+    def run(pdf):
+        seen, below = [], []
+        pdf = pdf.sort_values("dt")
+        for v in pdf[x].tolist():
+            below.append(bisect_left(seen, v))
+            insort(seen, v)
+        return pdf.assign(below=below, so_far=range(1, len(below) + 1))[["symbol", "dt", "below", "so_far"]]
+
+    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("dt", df.schema["dt"].dataType), T.StructField("below", T.LongType()), T.StructField("so_far", T.LongType())])
+    return df.where(F.col(x).isNotNull()).select("symbol", "dt", x).groupBy("symbol").applyInPandas(run, schema)
+
+
 def vol_regime(bars: DataFrame, n: int = 21, states: int = 3, history: int = 252, out: str = "vol_state") -> DataFrame:
-    """State of each bar's realised volatility against its own past quantiles; the middle state before `history` bars."""
+    """State of each bar's realised volatility against its own past quantiles; the middle state before `history` bars.
+
+    A value is above the (interpolated) p-quantile of N values that it is one of if more than p (N - 1) of them are less.
+    """
     so_far = SERIES.rowsBetween(Window.unboundedPreceding, 0)
     df = bars.withColumn("_r", divide(F.col("close"), F.lag("close").over(SERIES)) - 1).withColumn("_i", F.row_number().over(SERIES))
     df = df.withColumn("_v", full(F.col("_r"), n, F.stddev_pop("_r").over(frame(n))))
-    df = df.withColumns({f"_q{k}": F.percentile("_v", F.lit(k / states)).over(so_far) for k in range(1, states)})
-    state = F.when(F.col("_v").isNotNull() & (F.col("_i") > history), sum(((F.col("_v") > F.col(f"_q{k}")).cast("double") for k in range(1, states)), F.lit(0.0)))
+    df = df.join(expanding_rank(df, "_v").withColumnsRenamed({"below": "_below", "so_far": "_n"}), ["symbol", "dt"], "left")
+    above = lambda k: (F.col("_below") > (F.col("_n") - 1) * (k / states)).cast("double")
+    state = F.when(F.col("_v").isNotNull() & (F.col("_i") > history), sum((above(k) for k in range(1, states)), F.lit(0.0)))
     df = df.withColumn("_s", state).withColumn(out, F.coalesce(F.last("_s", ignorenulls=True).over(so_far), F.lit((states - 1) / 2)))
-    return df.drop("_r", "_i", "_v", "_s", *(f"_q{k}" for k in range(1, states)))
+    return df.drop("_r", "_i", "_v", "_s", "_below", "_n")
 
 
 def regime_scale(bars: DataFrame, bear: float = 0.5, wild: float = 0.4, slow: int = 200, n: int = 21, states: int = 3, history: int = 252) -> DataFrame:
