@@ -71,3 +71,14 @@ def quality(fills: DataFrame, market: DataFrame, orders: DataFrame, width: float
     s = F.when(F.col("side") == "sell", -1.0).otherwise(1.0)
     out = f.join(m, "order_id", "left")
     return out.select("order_id", "avg_fill", "vwap", "twap", (s * divide(F.col("avg_fill") - F.col("vwap"), F.col("vwap")) * 1e4).alias("vs_vwap_bps"), (s * divide(F.col("avg_fill") - F.col("twap"), F.col("twap")) * 1e4).alias("vs_twap_bps"), divide(F.col("filled"), F.col("traded")).alias("participation"))
+
+
+def schedule(total: int, steps: int, policy) -> list[int]:
+    """Child orders from policy(remaining, step, steps) -> a share of what remains, held to what is left; the last step takes the rest."""
+    out, left, sign = [], abs(total), 1 if total >= 0 else -1
+    for i in range(steps):
+        share = 1.0 if i == steps - 1 else min(max(float(policy(left, i, steps)), 0.0), 1.0)
+        part = min(left, round(left * share))
+        out.append(sign * part)
+        left -= part
+    return out

@@ -265,3 +265,23 @@ def is_causal(make, bars: DataFrame, cuts: list, factor: str = "factor", toleran
         if moved or whole.join(part, ["symbol", "dt"]).where(F.abs(F.col("_a") - F.col("_b")) > tolerance).limit(1).count():
             return False
     return True
+
+
+#: name -> a function of bars that adds the column `factor`.
+CUSTOM: dict = {}
+
+
+def register(name: str, make, sample: DataFrame, cuts: list) -> None:
+    """Adds a factor to CUSTOM if it doesn't look ahead on a sample of bars."""
+    if not is_causal(make, sample, cuts):
+        raise ValueError(f"{name} changes when later bars are missing")
+    CUSTOM[name] = make
+
+
+def backtest_factor(make, bars: DataFrame, cuts: list | None = None, lookback: int = 60, mode: str = "momentum") -> DataFrame:
+    """The backtest of a factor as a signal; with cuts, only if it doesn't look ahead."""
+    from . import backtest as BT
+
+    if cuts and not is_causal(make, bars, cuts):
+        raise ValueError("the factor changes when later bars are missing")
+    return BT.backtest(factor_to_signal(make(bars), "factor", lookback, mode))

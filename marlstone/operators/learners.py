@@ -277,3 +277,31 @@ def robust_scale(df: DataFrame, factors: list[str], train: str, bound: float = 5
     df = df.crossJoin(F.broadcast(mad))
     z = {f: F.least(F.greatest((F.col(f) - F.col(f"_m_{f}")) / F.col(f"_d_{f}"), F.lit(-bound)), F.lit(bound)) for f in factors}
     return df.withColumns({f: F.when(F.col(f).isNotNull(), c) for f, c in z.items()}).drop(*(f"_{k}_{f}" for k in "md" for f in factors))
+
+
+def subsets(factors: list[str], strength: dict[str, float], most: int = 25) -> list[tuple[str, ...]]:
+    """All factors, each alone, each left out, and the strongest 2, 3, ... of them: at most `most` distinct choices, in this order."""
+    ranked = sorted(factors, key=lambda f: (-abs(strength.get(f, 0.0)), f))
+    found = [tuple(factors), *((f,) for f in ranked), *(tuple(x for x in factors if x != f) for f in reversed(ranked)), *(tuple(f for f in factors if f in ranked[:k]) for k in range(2, len(factors)))]
+    return [s for s in dict.fromkeys(found) if s][:most]
+
+
+def leaderboard(df: DataFrame, choices: list[tuple[str, ...]], models: list[str] = ("ridge",), horizon: int = 21, period: str = "month", window: int = 252, least_dates: int = 120) -> DataFrame:
+    """The scorecards of all choices of factors and models, with factors and model; best rank_icir first."""
+    out = None
+    for choice in choices:
+        for name in models:
+            card, _ = evaluate_cross_section(df, list(choice), name, horizon, period, window, least_dates)
+            one = card.withColumns({"factors": F.lit("+".join(choice)), "model": F.lit(name)})
+            out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.col("rank_icir").desc_nulls_last(), "factors", "model")
+
+
+def conformal(preds: DataFrame, alpha: float = 0.1, least: int = 8) -> DataFrame:
+    """(dt, symbol, pred, target, width): each date's half-width covers 1 - alpha of the residuals of all earlier dates; null before `least` of them."""
+    days = preds.where("target is not null").groupBy("dt").agg(F.collect_list(F.abs(F.col("pred") - F.col("target"))).alias("r"))
+    w = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)  # one row a date
+    past = days.withColumn("past", F.array_sort(F.flatten(F.collect_list("r").over(w))))
+    n = F.size("past")
+    k = F.least(F.ceil((n + 1) * (1 - alpha)), n).cast("int")
+    return preds.join(past.select("dt", F.when(n >= least, F.get("past", k - 1)).alias("width")), "dt", "left")

@@ -119,3 +119,15 @@ def rsi_isolines(bars: DataFrame, levels=(30.0, 70.0), n: int = 14) -> DataFrame
         rise = (ratio * F.col("_ad") - F.col("_au")) * (n - 1)
         df = df.withColumn(f"rsi_price_{level:.0f}", F.col("close") + F.when(rise >= 0, rise).otherwise(rise / ratio))
     return df.drop("_up", "_dn", "_au", "_ad")
+
+
+def lenses(bars: DataFrame) -> DataFrame:
+    """A row per symbol: what the rules say of its last bar side by side (rating, strength, crossover, breakout, momentum), and their mean vote."""
+    from . import strategies
+
+    out = tech_rating(bars).select("symbol", "dt", F.col("score").alias("rating"), "label").join(strength(bars).select("symbol", "strength"), "symbol", "left")
+    votes = []
+    for name, df in (("crossover", strategies.ma_crossover(bars, 20, 50, "sma", True)), ("breakout", strategies.breakout(bars, allow_short=True)), ("momentum", strategies.ts_momentum(bars, allow_short=True))):
+        out = out.join(df.groupBy("symbol").agg(F.max_by("signal", "dt").alias(name)), "symbol", "left")
+        votes.append(F.col(name))
+    return out.withColumn("vote", _mean([F.col("rating"), (F.col("strength") - 50) / 50, *votes]))

@@ -244,3 +244,48 @@ def brinson(rows: DataFrame) -> DataFrame:
     s = s.withColumn("rps", F.coalesce(divide(F.col("cp"), F.col("wp")), F.col("rbs")))
     bet, pick = F.col("pw") - F.col("bw"), F.col("rps") - F.col("rbs")
     return s.select("sector", (bet * (F.col("rbs") - F.col("rb"))).alias("allocation"), (F.col("bw") * pick).alias("selection"), (bet * pick).alias("interaction"))
+
+
+def portfolio_health(bars: DataFrame, weights: DataFrame, sectors: DataFrame, lookback: int = 120) -> tuple[dict[str, float], list[str]]:
+    """(figures, warnings) of a book (symbol, weight): effective bets, diversification, mean correlation, concentration, tail losses and the largest
+    sector. Names without a return on each of the last dates are left out of the matrix, and a warning says how many."""
+    rets = returns(bars.join(weights.select("symbol"), "symbol", "left_semi"), lookback)
+    days = rets.agg(F.countDistinct("dt").alias("n")).first().n
+    whole = rets.join(rets.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") == days).select("symbol"), "symbol", "left_semi")
+    names, cov = covariance(whole)
+    held = {r.symbol: r.weight for r in weights.collect()}  # a book
+    w = np.array([held[n] for n in names])
+    w = w / np.abs(w).sum() if np.abs(w).sum() > 0 else w
+    sd = np.sqrt(np.diag(cov))
+    corr = cov / np.where(np.outer(sd, sd) > 0, np.outer(sd, sd), 1.0)
+    off = corr[np.triu_indices(len(names), 1)]
+    tail, size = var_cvar(rets, weights).first(), concentration(weights).first()
+    top = sector_exposure(weights, sectors).orderBy(F.desc("share")).first()
+    figures = {
+        "names": float(len(held)), "effective_bets": effective_bets(cov, w), "diversification": diversification(cov, w), "mean_correlation": float(off.mean()) if len(off) else 0.0,
+        "hhi": size.hhi, "max_weight": size.max_weight, "var": tail["var"], "cvar": tail["cvar"], "top_sector_share": top.share,
+    }
+    said = []
+    if len(names) < len(held):
+        said.append(f"{len(held) - len(names)} names without a full history are not in the matrix")
+    if figures["effective_bets"] < max(2, 0.25 * len(held)):
+        said.append("few effective bets")
+    if figures["mean_correlation"] > 0.6:
+        said.append("names move together")
+    if top.share > 0.5:
+        said.append(f"more than half is in {top.sector}")
+    return figures, said
+
+
+def mixture_regime(bars: DataFrame, symbol: str, states: int = 3, lookback: int = 504, vol: int = 10) -> DataFrame:
+    """(dt, ret, vol, state) of a name's last bars by a Gaussian mixture over return and volatility; states are ordered by mean return, 0 the worst."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    df = bars.where(F.col("symbol") == symbol).withColumn("ret", divide(F.col("close"), F.lag("close").over(SERIES)) - 1)
+    df = df.withColumn("vol", full(F.col("ret"), vol, F.stddev_samp("ret").over(frame(vol)))).where("vol is not null").withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("dt")))).where(F.col("_i") <= lookback)
+    rows = VectorAssembler(inputCols=["ret", "vol"], outputCol="_x").transform(df.select("dt", "ret", "vol"))
+    model = GaussianMixture(k=states, featuresCol="_x", predictionCol="_k", seed=0).fit(rows)
+    order = sorted(range(states), key=lambda k: float(model.gaussians[k].mean[0]))
+    place = F.create_map(*(F.lit(x) for new, old in enumerate(order) for x in (old, new)))
+    return model.transform(rows).select("dt", "ret", "vol", F.element_at(place, F.col("_k")).alias("state"))

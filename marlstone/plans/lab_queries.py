@@ -401,3 +401,23 @@ add("compare_names", lambda s, d: rounded(R.compare(weekly(s, d), ["Brand#11", "
     bars_cte(f"x AS (SELECT symbol, close, close / lag(close) {_S} - 1 AS rt, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS i FROM bars WHERE symbol IN ('Brand#11', 'Brand#23', 'Brand#5')), g AS (SELECT symbol, max(close) FILTER (i = 1) AS c, max(close) FILTER (i = 1) / max(close) FILTER (i = 27) - 1 AS ret, stddev_pop(rt) FILTER (i <= 26) * sqrt(252) AS v FROM x GROUP BY symbol) SELECT symbol, {r('c', 'close', 5)}, {r('ret', 'ret', 5)}, {r('v', 'vol', 5)}, {r('rank() OVER (ORDER BY ret) / count(*) OVER ()::DOUBLE', 'strength_rank', 5)} FROM g"))
 add("position_spans", lambda s, d: rounded(A.spans(BT.backtest(strategies.ts_momentum(weekly(s, d), 8))), ["symbol", "entry_dt"], 5),
     bars_cte(f"{_MOM(8)}, i AS (SELECT *, (coalesce(lag(sign(position)) {_S}, 0) <> sign(position))::INT AS nw FROM cf8), k AS (SELECT *, sum(nw) {_RUN} AS id FROM i) SELECT symbol, min(sign(position))::DOUBLE AS side, min(dt) AS entry_dt, max(dt) AS exit_dt, count(*) AS bars, {r('product(1 + ret) - 1', 'ret', 5)} FROM k WHERE position <> 0 GROUP BY symbol, id"))
+
+
+# compositions
+def _health(s, d):
+    weights = weekly(s, d).groupBy("symbol").agg(F.sum("volume").alias("weight"))
+    figures, said = risk.portfolio_health(weekly(s, d), weights, weekly(s, d).select("symbol", F.substring("symbol", 1, 7).alias("sector")).distinct())
+    return s.createDataFrame([(k, round(float(v), 5)) for k, v in figures.items()] + [("warnings", float(len(said)))], "what string, value double")
+
+
+add("portfolio_health", _health)
+add("mixture_regime", lambda s, d: risk.mixture_regime(weekly(s, d), "Brand#11").select("dt", F.round("vol", 6).alias("vol"), "state"))
+add("lenses", lambda s, d: rounded(ratings.lenses(weekly(s, d)), ["symbol", "dt"], 4))
+add("leaderboard", lambda s, d: rounded(learners.leaderboard(panel(s, d), learners.subsets(["mom", "vol"], {"mom": 0.2, "vol": 0.1}), ["ridge"], 1, "quarter", 24, 10), ["factors", "model"], 4))
+_FACTOR = lambda b: b.withColumn("factor", F.col("close") / F.col("vwap") - 1)
+add("custom_factor", lambda s, d: rounded(metrics.summary(L.backtest_factor(_FACTOR, weekly(s, d), None, 20, "reversion")).select("symbol", "win_rate", "sharpe"), ["symbol"], 4),
+    bars_cte(f"x AS (SELECT *, close / vwap - 1 AS x FROM bars), z AS (SELECT *, {full('x', 20, f'(x - avg(x) {over(20)}) / nullif(stddev_pop(x) {over(20)}, 0)')} AS z FROM x), sg AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE -least(greatest(z, -2), 2) / 2 END AS signal FROM z), "
+             f"p0 AS (SELECT symbol, dt, coalesce(lag(signal) {_S}, 0.0) AS position, coalesce(close / lag(close) {_S} - 1, 0.0) AS ar FROM sg), p1 AS (SELECT symbol, position * ar - abs(position - coalesce(lag(position) {_S}, 0)) * 2 / 1e4 AS ret FROM p0) SELECT symbol, {r('coalesce(avg(CASE WHEN ret <> 0 THEN (ret > 0)::INT END), 0)', 'win_rate', 4)}, {r(_SHARPE.format('ret'), 'sharpe', 4)} FROM p1 GROUP BY symbol"))
+add("conformal", lambda s, d: rounded(learners.conformal(_as_preds(s, d).where("pred is not null")).groupBy("dt").agg(F.max("width").alias("width")), ["dt"], 5),
+    suppliers(f"{_P}, q AS (SELECT dt, abs(mom - fwd) AS r FROM p WHERE mom IS NOT NULL AND fwd IS NOT NULL), dd AS (SELECT DISTINCT dt FROM p WHERE mom IS NOT NULL), k AS (SELECT dd.dt, list_sort(list(q.r) FILTER (q.r IS NOT NULL)) AS a FROM dd LEFT JOIN q ON q.dt < dd.dt GROUP BY dd.dt), e AS (SELECT DISTINCT dt FROM q) "
+              f"SELECT k.dt, {r('CASE WHEN e.dt IS NOT NULL AND len(a) >= 8 THEN a[least(ceil((len(a) + 1) * 0.9), len(a))::INT] END', 'width', 5)} FROM k LEFT JOIN e ON k.dt = e.dt"))

@@ -100,3 +100,33 @@ def compare(bars: DataFrame, symbols: list[str], lookback: int = 63) -> DataFram
     at = lambda i: F.max(F.when(F.col("_i") == i, F.col("close")))
     one = rows.groupBy("symbol").agg(at(1).alias("close"), (divide(at(1), at(lookback + 1)) - 1).alias("ret"), (F.stddev_pop(F.when(F.col("_i") <= lookback, F.col("_r"))) * math.sqrt(252)).alias("vol"))
     return one.withColumn("strength_rank", _ranked(F.col("ret")))
+
+
+def curve_svg(values: list[float], width: int = 640, height: int = 160) -> str:
+    """A line through values as SVG; nothing for fewer than two."""
+    if len(values) < 2:
+        return ""
+    low, high = min(values), max(values)
+    y = lambda v: height - (v - low) / ((high - low) or 1.0) * height
+    points = " ".join(f"{i * width / (len(values) - 1):.1f},{y(v):.1f}" for i, v in enumerate(values))
+    return f'<svg viewBox="0 0 {width} {height}" width="{width}" height="{height}"><polyline fill="none" stroke="currentColor" points="{points}"/></svg>'
+
+
+def build_research(bars: DataFrame, symbol: str, families: list[str] | None = None, grids: dict | None = None) -> str:
+    """A page on one symbol: every family's best configuration, the best one's figures, its worst quarter, its worth at other costs, robustness."""
+    from marlstone.operators import backtest as BT
+    from marlstone.operators import metrics, search, strategies
+
+    own = bars.where(F.col("symbol") == symbol)
+    found = search.screen(own, families, grids).orderBy(F.col("oos_sharpe").desc_nulls_last(), "family").collect()  # a row a family
+    best = found[0]
+    tested = BT.backtest(strategies.REGISTRY[best.family](own, **json.loads(best.config))).cache()
+    trials = search.config_returns(own, best.family, (grids or {}).get(best.family)).select("dt", F.col("config").alias("trial"), "ret")
+    sections = [
+        ("Families", [{"family": r.family, "parameters": r.config, "sharpe": r.sharpe, "out of sample": r.oos_sharpe} for r in found]),
+        ("Best", {k: v for k, v in metrics.summary(tested).first().asDict().items() if k != "symbol"}),
+        ("Worst quarter", metrics.downturn(tested, "ret").first().asDict()),
+        ("Costs", [r.asDict() for r in BT.cost_sensitivity(tested).orderBy("bps").collect()]),
+        ("Robustness", search.selection_robustness(trials)),
+    ]
+    return page(f"{symbol}: strategies", sections)

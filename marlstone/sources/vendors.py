@@ -90,3 +90,17 @@ def save_panel(bars: DataFrame, folder: str) -> None:
 def news_rows(items: DataFrame) -> DataFrame:
     """Curated items as report alerts: those with a headline, with level, signal and symbol filled in where missing."""
     return items.where("headline is not null and headline <> ''").withColumns({"level": F.coalesce("level", F.lit("mid")), "signal": F.coalesce("signal", F.lit("watch")), "symbol": F.coalesce("symbol", F.lit("news"))})
+
+
+# Endings by which vendors mark markets, and columns under other names.
+SUFFIXES = r"\.(SS|SZ|SH|BJ|HK|KS|KQ|T)$"
+COLUMNS = {"date": "dt", "time": "dt", "adj close": "adj_close", "vol": "volume"}
+
+
+def vendor_bars(df: DataFrame, symbol: str | None = None, strip: bool = False) -> DataFrame:
+    """Bars from a vendor's frame: lower-case columns, other names mapped, dates without time; symbols stay strings, on wish without ending."""
+    df = df.toDF(*(COLUMNS.get(c.lower(), c.lower().replace(" ", "_")) for c in df.columns))
+    if symbol is not None:
+        df = df.withColumn("symbol", F.lit(symbol))
+    name = F.regexp_replace("symbol", SUFFIXES, "") if strip else F.col("symbol")
+    return df.withColumns({"symbol": name, "dt": F.to_date("dt")})

@@ -58,3 +58,14 @@ def replay(spark, make, folder: str, schema, name: str) -> DataFrame:
     finally:
         query.stop()
     return spark.table(name)
+
+
+def dedup_last(ticks: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """A stream of (symbol, ts, seq, price, size) with the row of the largest seq of each symbol and time, once the watermark has passed."""
+    rows = ticks.withWatermark("ts", watermark).groupBy("symbol", "ts").agg(F.max_by(F.struct("price", "size"), "seq").alias("b"))
+    return rows.select("symbol", "ts", "b.price", "b.size")
+
+
+def stream_signal_log(spark, path: str, schema: str):
+    """The appended lines of a signal log as a stream."""
+    return spark.readStream.schema(schema).json(path)

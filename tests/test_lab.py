@@ -264,3 +264,30 @@ def test_small_readings(spark):
     assert value(S.pre_event_risk(F.lit("fomc"), F.lit(0))) == -0.5 and value(S.pre_event_risk(F.lit("fomc"), F.lit(9))) == 0
     assert value(risk.kelly_fraction(F.lit(0.6), F.lit(2.0))) == pytest.approx(0.4)
     assert value(X.order_style(F.lit(1.0), F.lit("low"))) == "marketable" and value(X.shares_to_trade(F.lit(0.5), F.lit(0.2), F.lit(1000.0), F.lit(10.0))) == 30
+
+
+def test_compositions(spark, bars, walk):
+    weights = bars.select("symbol").distinct().withColumn("weight", F.lit(0.125))
+    sectors = bars.select("symbol", F.lit("one").alias("sector")).distinct()
+    figures, said = risk.portfolio_health(bars.where("not (symbol = 's7' and dt > '2024-05-20')"), weights, sectors)
+    assert figures["names"] == 8 and any("without a full history" in x for x in said) and any("half" in x for x in said) and figures["cvar"] <= figures["var"]
+    states = risk.mixture_regime(bars, "s0", 2).groupBy("state").agg(F.avg("ret").alias("m")).orderBy("state").collect()
+    assert len(states) == 2
+    choices = learners.subsets(["a", "b", "c"], {"a": 0.1, "b": -0.3})
+    assert choices[0] == ("a", "b", "c") and choices[1] == ("b",) and len(choices) == len(set(choices))
+    board = learners.leaderboard(bars, [("sig",), ("noise",)], ["ridge"], 2, "month", 60, 20).collect()
+    assert board[0].factors == "sig"
+    widths = learners.conformal(bars.select("dt", "symbol", F.col("sig").alias("pred"), F.col("noise").alias("target"))).toPandas()
+    day = DAY + timedelta(20)
+    past = np.sort(np.abs(walk.sig - walk.noise)[walk.dt < day])
+    assert widths[widths.dt == day].width.iloc[0] == pytest.approx(past[min(math.ceil((len(past) + 1) * 0.9), len(past)) - 1])
+    assert X.schedule(-10, 4, lambda left, i, n: 0.5) == [-5, -2, -2, -1] and sum(X.schedule(7, 3, lambda *_: 9)) == 7
+    with pytest.raises(ValueError):
+        L.register("ahead", lambda b: b.withColumn("factor", F.lead("close").over(L.SERIES)), bars, [DAY + timedelta(60)])
+    assert R.curve_svg([1.0]) == "" and "polyline" in R.curve_svg([1.0, 2.0])
+    page = R.build_research(bars, "s0", ["ts_momentum"], {"ts_momentum": {"lookback": [5, 20]}})
+    assert "Robustness" in page and "ts_momentum" in page
+    frame = spark.createDataFrame([("2024-01-02 00:00:00", 1.0, 2.0)], "Date string, Close double, `Adj Close` double")
+    one = vendors.vendor_bars(frame, "600519.SS", strip=True).first()
+    assert (one.symbol, str(one.dt), one.adj_close) == ("600519", "2024-01-02", 2.0)
+    assert ratings.lenses(bars).count() == 8
