@@ -1,7 +1,7 @@
 """Chat formatting with prefix-target expansion: every assistant turn becomes an example of its own.
 
 An example's text is all turns up to and including its target; only the target's text is under the loss mask. A turn is
-`<|role|>` text `</s>`, and no text or role can hold a mark: & < [ and line breaks of a role are written as entities, which unescape()
+`<|role|>` text `</s>`, and no text or role can hold a mark: & < [ and | are written as entities, which unescape()
 takes back. A conversation whose last turn isn't the assistant's gets one more example with no target, so that no turn is lost.
 """
 
