@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         _own[app] = f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"

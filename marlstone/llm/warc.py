@@ -18,7 +18,8 @@ from .common import small, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 1536
+#: Archives are read whole: they hold at most so many records of pages of at most SMALL bytes (128 MB in all), or one larger page with its own.
+RECORDS_PER_FILE, SMALL = 1536, 1 << 18
 _NL = "\r\n"
 
 
@@ -58,6 +59,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     written as an empty field and read back as null. Extra columns are ignored. An empty table gives no records.
     """
     twice = small(written(revisits(pages, min_bytes), "revisits"))
+    is_small = F.coalesce(F.octet_length("html"), F.lit(0)) <= SMALL
+    for some, most in ((is_small, RECORDS_PER_FILE), (~is_small, 3)):
+        _records_of(pages.where(some), twice, date).write.mode("append").option("lineSep", 2 * _NL).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _records_of(pages: DataFrame, twice: DataFrame, date: str) -> DataFrame:
+    """The records of pages, one a row, without their ends. twice: (digest, response_id) of payloads that several pages have."""
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("digest", base32_sha1(F.col("html"))).join(twice, "digest", "left")
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -82,8 +90,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn("request|", own)), ("WARC-Date", when), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", record_id), ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
     facts = F.concat(F.lit("page-id: "), number, F.lit(_NL))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata|", own)), ("WARC-Date", when), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", record_id), ("Content-Type", F.lit("application/warc-fields"))], facts)
-    records = page.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", 2 * _NL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    return page.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
 
 
 RECORD = T.StructType(
