@@ -9,6 +9,7 @@ from marlstone.functions import scalars as S
 from marlstone.operators import attribution as A
 from marlstone.operators import backtest as BT
 from marlstone.operators import context as C
+from marlstone.operators import execution as X
 from marlstone.operators import cross_section as CS
 from marlstone.operators import factor_lab as L
 from marlstone.operators import indicators as I
@@ -421,3 +422,35 @@ add("custom_factor", lambda s, d: rounded(metrics.summary(L.backtest_factor(_FAC
 add("conformal", lambda s, d: rounded(learners.conformal(_as_preds(s, d).where("pred is not null")).groupBy("dt").agg(F.max("width").alias("width")), ["dt"], 5),
     suppliers(f"{_P}, q AS (SELECT dt, abs(mom - fwd) AS r FROM p WHERE mom IS NOT NULL AND fwd IS NOT NULL), dd AS (SELECT DISTINCT dt FROM p WHERE mom IS NOT NULL), k AS (SELECT dd.dt, list_sort(list(q.r) FILTER (q.r IS NOT NULL)) AS a FROM dd LEFT JOIN q ON q.dt < dd.dt GROUP BY dd.dt), e AS (SELECT DISTINCT dt FROM q) "
               f"SELECT k.dt, {r('CASE WHEN e.dt IS NOT NULL AND len(a) >= 8 THEN a[least(ceil((len(a) + 1) * 0.9), len(a))::INT] END', 'width', 5)} FROM k LEFT JOIN e ON k.dt = e.dt"))
+
+
+# pairs, orders and small readings
+def _pair(s, d):
+    rows = weekly(s, d)
+    return rows.where("symbol <> 'Brand#11'"), rows.where("symbol = 'Brand#11'").select("dt", F.col("close").alias("partner_close"))
+
+
+_PAIR = f"""a AS (SELECT x.symbol, x.dt, x.close AS c, last_value(y.close IGNORE NULLS) OVER (PARTITION BY x.symbol ORDER BY x.dt ROWS UNBOUNDED PRECEDING) AS q FROM bars x LEFT JOIN bars y ON y.symbol = 'Brand#11' AND x.dt = y.dt WHERE x.symbol <> 'Brand#11'),
+b AS (SELECT *, CASE WHEN count(c + q) {over(20)} = 20 THEN covar_samp(c, q) {over(20)} / nullif(var_samp(q) {over(20)}, 0) END AS hedge FROM a), e AS (SELECT *, c - hedge * q AS spread FROM b),
+z AS (SELECT *, {full('spread', 20, f'(spread - avg(spread) {over(20)}) / nullif(stddev_pop(spread) {over(20)}, 0)')} AS z FROM e)"""
+add("pair_spread", lambda s, d: rounded(strategies.pair_spread(*_pair(s, d), 20).select("symbol", "dt", "hedge", "spread", "spread_z"), ["symbol", "dt"], 4), bars_cte(f"{_PAIR} SELECT symbol, dt, {r('hedge', 'hedge', 4)}, {r('spread', 'spread', 4)}, {r('z', 'spread_z', 4)} FROM z"))
+add("pairs_reversion", lambda s, d: strategies.pairs_reversion(*_pair(s, d), 20, 1.5, 0.5).select("symbol", "dt", "signal"),
+    bars_cte(f"{_PAIR}, g AS (SELECT symbol, dt, CASE WHEN z <= -1.5 THEN 1.0 WHEN z >= -0.5 THEN 0.0 END AS u, CASE WHEN z >= 1.5 THEN -1.0 WHEN z <= 0.5 THEN 0.0 END AS w FROM z) SELECT symbol, dt, (coalesce(last_value(u IGNORE NULLS) {_RUN}, 0) + coalesce(last_value(w IGNORE NULLS) {_RUN}, 0))::DOUBLE AS signal FROM g"))
+_B = F.col("s_acctbal")
+add("order_sizes", lambda s, d: B.table(s, d, "supplier").select("s_suppkey", X.shares_to_trade(_B / 10000, _B / 30000, F.lit(1e6), F.when(_K % 5 > 0, _K / 3.0).otherwise(0.0)).alias("shares"), X.order_style(F.abs("s_acctbal") / 400, F.when(_K % 6 == 0, "high").otherwise("low")).alias("style"), F.round(risk.kelly_fraction(F.abs("s_acctbal") / 10000, (_K + 1) / 20.0), 6).alias("kelly")),
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN round_even((s_acctbal / 10000 - s_acctbal / 30000) * 1e6 / (s_suppkey / 3.0::DOUBLE), 0)::BIGINT ELSE 0 END AS shares, CASE WHEN s_suppkey % 6 = 0 OR abs(s_acctbal) / 400 <= 3 THEN 'marketable' WHEN abs(s_acctbal) / 400 >= 20 THEN 'patient' ELSE 'middle' END AS style, round(least(greatest(abs(s_acctbal) / 10000 - (1 - abs(s_acctbal) / 10000) / ((s_suppkey + 1) / 20.0::DOUBLE), 0), 0.5), 6) AS kelly FROM supplier")
+_NAMES = ("AAPL", "0700.HK", "600519.SS", "005930.KS", "7203", "285A", "00700", "600519", "7203.T")
+add("market_of", lambda s, d: B.table(s, d, "part").select("p_partkey", S.market_of(F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int"))).alias("market")), f"SELECT p_partkey, ['US', 'HK', 'CN', 'KR', 'JP', 'JP', 'HK', 'CN', 'JP'][p_partkey % {len(_NAMES)} + 1] AS market FROM part")
+_REL = ("CPI", "GDP", "unemployment", "retail sales", "weather")
+add("release_readings", lambda s, d: rounded(B.table(s, d, "part").select("p_partkey", S.econ_surprise(F.get(F.array(*map(F.lit, _REL)), (F.col("p_partkey") % 5).cast("int")), F.col("p_size") / 10.0, F.lit(2.5)).alias("surprise"), S.pre_event_risk(F.get(F.array(*map(F.lit, _REL)), (F.col("p_partkey") % 5).cast("int")), F.col("p_size") % 8).alias("risk")), ["p_partkey"]),
+    f"SELECT p_partkey, {r('[-1.0, 0.7, -1.0, 0.5, 0.0][p_partkey % 5 + 1] * tanh((p_size / 10.0::DOUBLE - 2.5) / 2.5 * 5)', 'surprise')}, {r('CASE WHEN p_partkey % 5 < 3 AND p_size % 8 <= 4 THEN -0.5 * (1 - (p_size % 8) / 5.0::DOUBLE) ELSE 0 END', 'risk')} FROM part")
+
+
+def _betas(s, d):
+    rets = risk.returns(weekly(s, d))
+    market = rets.groupBy("dt").agg(F.avg("ret").alias("ret"))
+    return rets.where("symbol = 'Brand#11'"), market
+
+
+add("beta_to_market", lambda s, d: rounded(risk.beta_to(*_betas(s, d)), [], 5), bars_cte(f"{_RET} SELECT {r('covar_samp(rt, mr) / var_samp(mr)', 'beta', 5)}, count(*) AS n FROM j WHERE symbol = 'Brand#11'"))
+add("stress_loss", lambda s, d: rounded(risk.stress(B.table(s, d, "supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") / 1e5).alias("weight")), B.table(s, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("symbol"), (F.col("s_nationkey") / 10.0).alias("beta")), -0.1), []), f"SELECT {r('sum(s_acctbal / 1e5 * CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey / 10.0 ELSE 1 END) * -0.1', 'loss')} FROM supplier")
