@@ -63,10 +63,11 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, found).drop("_a", "_b", "_ab", "_ba")
 
 
-def with_next(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, fields: list[str], made=None) -> DataFrame:
     """df with next_<field> of the row that follows in descending id_col (ties: descending first field; nulls last); after the last, the first.
 
-    Rows are dealt to ranges of the id, each ordered by itself; the first row of each range is also put behind the range before it. Only
+    made(df) adds columns, which may be among the fields, where rows have been dealt: they are made once for a row and its predecessor, and
+    not shuffled. Rows are dealt to ranges of the id, each ordered by itself; the first row of each range is also put behind the range before it. Only
     the ranges' bounds pass through the driver. An empty table stays empty.
     """
     spark = df.sparkSession
@@ -96,9 +97,10 @@ def with_next(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     goes = F.lit(before.get(None, 0)) if to is None else F.coalesce(F.try_element_at(to, F.col(id_col)), F.lit(before.get(None, 0)))
     both = marked.unionByName(guests.withColumn("_b", goes.cast("int")).withColumn("_guest", F.lit(True)))
     w = Window.partitionBy("_b").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col(fields[0]).desc_nulls_last())
-    after = F.lead(F.struct(*fields)).over(w)
-    out = both.withColumn("_next", after).where(~F.col("_guest"))
-    return out.select(*df.columns, *(F.col(f"_next.{f}").alias(f"next_{f}") for f in fields))
+    dealt = both.repartition("_b")
+    dealt = dealt if made is None else made(dealt)
+    out = dealt.withColumn("_next", F.lead(F.struct(*fields)).over(w)).where(~F.col("_guest")).drop("_b", "_guest")
+    return out.select(*(c for c in out.columns if c != "_next"), *(F.col(f"_next.{f}").alias(f"next_{f}") for f in fields))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,14 +112,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows, "doc_id", ["text"])
+    rows = with_next(rows, "doc_id", ["text", "text_s"], lambda dealt: _syncmers(dealt, "text", "text_s"))
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("half", F.floor(n / 2).cast("int")).withColumn("head", n - F.floor(n / 2).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("head")), F.substring("next_text", F.lit(1), F.col("half"))))
     rows = rows.withColumn("from", F.greatest(F.col("head") - (K - 1), F.lit(0)))
     rows = rows.withColumn("seam", F.substring("edited", F.col("from") + 1, F.col("head") - F.col("from") + F.least(F.col("half"), F.lit(K - 1))))
-    for text in ("text", "next_text", "seam"):
-        rows = _syncmers(rows, text, f"{text}_s")
+    rows = _syncmers(rows, "seam", "seam_s")
     moved = lambda c, by: F.transform(c, lambda x: F.struct((x["at"] + by).alias("at"), x["anchor"].alias("anchor")))
     parts = F.concat(
         F.filter("text_s", lambda x: x["at"] + K <= F.col("head")),
