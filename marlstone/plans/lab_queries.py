@@ -211,8 +211,13 @@ l2 AS (SELECT *, list_max(list_filter(dn, lambda x: x < s1)) AS s2, list_min(lis
 l3 AS (SELECT *, least(a0, b0) AS bl, greatest(a0, b0) AS bh, (a0 + b0) / 2 AS en FROM l2), l4 AS (SELECT *, least(en - 2 * atr, coalesce(s1 - 0.3 * atr, en - 2 * atr)) AS st FROM l3), l5 AS (SELECT *, coalesce(r1, en + 2 * (en - st)) AS t1, en + 2 * (en - st) AS t2 FROM l4)"""
 add("trade_levels", lambda s, d: rounded(ratings.trade_levels(weekly(s, d)).select("symbol", "dt", "price", "atr", "support1", "support2", "resistance1", "resistance2", "buy_low", "buy_high", "stop_loss", "target1", "target2", "reward_risk", "target1_pct"), ["symbol", "dt"], 4),
     bars_cte(f"{_LEVELS} SELECT symbol, dt, {', '.join(r(v, n, 4) for v, n in (('c', 'price'), ('atr', 'atr'), ('s1', 'support1'), ('s2', 'support2'), ('r1', 'resistance1'), ('r2', 'resistance2'), ('bl', 'buy_low'), ('bh', 'buy_high'), ('st', 'stop_loss'), ('t1', 'target1'), ('t2', 'target2'), ('CASE WHEN en > st THEN (t1 - en) / (en - st) END', 'reward_risk'), ('t1 / c - 1', 'target1_pct')))} FROM l5"))
-_K = F.col("s_suppkey")
-add("classify_signal", lambda s, d: B.table(s, d, "supplier").select("s_suppkey", ratings.classify_signal(F.when(_K % 9 > 0, _K % 100 + 0.0), (_K % 4).cast("double"), (_K % 3 - 1).cast("double"), _K % 2 == 0, _K % 17 == 0, F.lit(False)).alias("verdict")),
+
+
+def _k():
+    return F.col("s_suppkey")
+
+
+add("classify_signal", lambda s, d: B.table(s, d, "supplier").select("s_suppkey", ratings.classify_signal(F.when(_k() % 9 > 0, _k() % 100 + 0.0), (_k() % 4).cast("double"), (_k() % 3 - 1).cast("double"), _k() % 2 == 0, _k() % 17 == 0, F.lit(False)).alias("verdict")),
     "WITH x AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey % 100 ELSE 50 END AS rsi, s_suppkey % 4 AS rr, s_suppkey % 3 - 1 AS t, s_suppkey % 2 = 0 AS z, s_suppkey % 17 = 0 AS e FROM supplier) SELECT s_suppkey, CASE WHEN t < 0 THEN CASE WHEN rsi <= 30 THEN 'watch' ELSE 'short' END WHEN e THEN 'watch' WHEN t > 0 AND rsi < 70 AND rr >= 1.5 AND z THEN 'long' ELSE 'watch' END AS verdict FROM x")
 
 # context
@@ -436,8 +441,13 @@ z AS (SELECT *, {full('spread', 20, f'(spread - avg(spread) {over(20)}) / nullif
 add("pair_spread", lambda s, d: rounded(strategies.pair_spread(*_pair(s, d), 20).select("symbol", "dt", "hedge", "spread", "spread_z"), ["symbol", "dt"], 4), bars_cte(f"{_PAIR} SELECT symbol, dt, {r('hedge', 'hedge', 4)}, {r('spread', 'spread', 4)}, {r('z', 'spread_z', 4)} FROM z"))
 add("pairs_reversion", lambda s, d: strategies.pairs_reversion(*_pair(s, d), 20, 1.5, 0.5).select("symbol", "dt", "signal"),
     bars_cte(f"{_PAIR}, g AS (SELECT symbol, dt, CASE WHEN z <= -1.5 THEN 1.0 WHEN z >= -0.5 THEN 0.0 END AS u, CASE WHEN z >= 1.5 THEN -1.0 WHEN z <= 0.5 THEN 0.0 END AS w FROM z) SELECT symbol, dt, (coalesce(last_value(u IGNORE NULLS) {_RUN}, 0) + coalesce(last_value(w IGNORE NULLS) {_RUN}, 0))::DOUBLE AS signal FROM g"))
-_B = F.col("s_acctbal")
-add("order_sizes", lambda s, d: B.table(s, d, "supplier").select("s_suppkey", X.shares_to_trade(_B / 10000, _B / 30000, F.lit(1e6), F.when(_K % 5 > 0, _K / 3.0).otherwise(0.0)).alias("shares"), X.order_style(F.abs("s_acctbal") / 400, F.when(_K % 6 == 0, "high").otherwise("low")).alias("style"), F.round(risk.kelly_fraction(F.abs("s_acctbal") / 10000, (_K + 1) / 20.0), 6).alias("kelly")),
+
+
+def _b():
+    return F.col("s_acctbal")
+
+
+add("order_sizes", lambda s, d: B.table(s, d, "supplier").select("s_suppkey", X.shares_to_trade(_b() / 10000, _b() / 30000, F.lit(1e6), F.when(_k() % 5 > 0, _k() / 3.0).otherwise(0.0)).alias("shares"), X.order_style(F.abs("s_acctbal") / 400, F.when(_k() % 6 == 0, "high").otherwise("low")).alias("style"), F.round(risk.kelly_fraction(F.abs("s_acctbal") / 10000, (_k() + 1) / 20.0), 6).alias("kelly")),
     "SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN round_even((s_acctbal / 10000 - s_acctbal / 30000) * 1e6 / (s_suppkey / 3.0::DOUBLE), 0)::BIGINT ELSE 0 END AS shares, CASE WHEN s_suppkey % 6 = 0 OR abs(s_acctbal) / 400 <= 3 THEN 'marketable' WHEN abs(s_acctbal) / 400 >= 20 THEN 'patient' ELSE 'middle' END AS style, round(least(greatest(abs(s_acctbal) / 10000 - (1 - abs(s_acctbal) / 10000) / ((s_suppkey + 1) / 20.0::DOUBLE), 0), 0.5), 6) AS kelly FROM supplier")
 _NAMES = ("AAPL", "0700.HK", "600519.SS", "005930.KS", "7203", "285A", "00700", "600519", "7203.T")
 add("market_of", lambda s, d: B.table(s, d, "part").select("p_partkey", S.market_of(F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int"))).alias("market")), f"SELECT p_partkey, ['US', 'HK', 'CN', 'KR', 'JP', 'JP', 'HK', 'CN', 'JP'][p_partkey % {len(_NAMES)} + 1] AS market FROM part")

@@ -291,3 +291,15 @@ def test_compositions(spark, bars, walk):
     one = vendors.vendor_bars(frame, "600519.SS", strip=True).first()
     assert (one.symbol, str(one.dt), one.adj_close) == ("600519", "2024-01-02", 2.0)
     assert ratings.lenses(bars).count() == 8
+
+
+def test_entry_needs_no_session():
+    """Queries are listed before there is a session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert got.returncode == 0, got.stderr[-500:]
+    assert int(got.stdout.split()[-2]) > 100
