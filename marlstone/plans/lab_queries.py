@@ -19,7 +19,7 @@ from marlstone.operators import universe as U
 from marlstone.reporting import text as R
 from marlstone.sources import bars as B
 
-from .market_queries import _BR, _FWD, _RET, _S, _RUN, bars_cte, full, monthly, r, rounded, weekly
+from .market_queries import _BR, _DN, _E12, _E26, _NUMBERED, _O, _OD, _OM, _OU, _RET, _RUN, _S, _SIG, _UP, bars_cte, ewm_sql, full, monthly, r, rounded, weekly
 from .twins import over
 
 QUERIES, ORACLES = {}, {}
@@ -198,9 +198,27 @@ add("multi_factor_weights", lambda s, d: rounded(_blend(s, d), ["dt", "symbol"])
 add("multi_factor_smoothed", lambda s, d: rounded(_blend(s, d, smoothing=0.4), ["dt", "symbol"]))
 
 # ratings and levels
-add("tech_rating", lambda s, d: rounded(ratings.tech_rating(weekly(s, d)), ["symbol", "dt"], 4))
-add("strength", lambda s, d: rounded(ratings.strength(weekly(s, d)), ["symbol"], 3))
-add("rsi_isolines", lambda s, d: rounded(ratings.rsi_isolines(weekly(s, d)).select("symbol", "dt", "rsi_price_30", "rsi_price_70"), ["symbol", "dt"], 4))
+_EMA = {n: ewm_sql("close", 2 / (n + 1), n)[0] for n in ratings.MEANS}
+_OSC = f"""{_NUMBERED}, q1 AS (SELECT *, greatest(mv, 0.0 * mv) AS up, greatest(-mv, 0.0 * mv) AS dn, (high + low + close) / 3 AS tp FROM n), q2 AS (SELECT *, {_O}, {_OU}, {_OD} FROM q1),
+q3 AS (SELECT *, {_E12} - {_E26} AS macd, {_UP} AS au, {_DN} AS ad, {', '.join(f"{e} AS e{n}, {full('close', n, f'avg(close) {over(n)}')} AS m{n}" for n, e in _EMA.items())}, {full('low', 14, f'min(low) {over(14)}')} AS ll, {full('high', 14, f'max(high) {over(14)}')} AS hh, {full('tp', 20, f'avg(tp) {over(20)}')} AS tm FROM q2),
+q4 AS (SELECT *, {_OM}, abs(tp - tm) AS ta, CASE WHEN au IS NULL THEN NULL WHEN au = 0 AND ad = 0 THEN 50 WHEN ad = 0 THEN 100 ELSE 100 - 100 / (1 + au / ad) END AS rsi, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS bk FROM q3),
+q5 AS (SELECT *, {_SIG} AS sg, {full('ta', 20, f'avg(ta) {over(20)}')} AS md, close / lag(close, 10) {_S} - 1 AS roc FROM q4)"""
+_MEAN_OF = lambda votes: f"coalesce(list_avg(list_filter([{', '.join(votes)}], lambda v: v IS NOT NULL)), 0)"
+_VOTES = [f"CASE WHEN {x}{n} IS NOT NULL THEN CASE WHEN close > {x}{n} THEN 1.0 ELSE -1.0 END END" for n in ratings.MEANS for x in "me"]
+_VOTE = lambda x, low, high: f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN {x} < {low} THEN 1.0 WHEN {x} > {high} THEN -1.0 ELSE 0.0 END END"
+_WAVES = [_VOTE("rsi", 30, 70), _VOTE("((close - ll) / nullif(hh - ll, 0) * 100)", 20, 80), _VOTE("((tp - tm) / nullif(md * 0.015, 0))", -100, 100), _VOTE("((hh - close) / nullif(hh - ll, 0) * -100)", -80, -20), "CASE WHEN macd > sg THEN 1.0 ELSE -1.0 END", "CASE WHEN roc IS NOT NULL THEN CASE WHEN roc > 0 THEN 1.0 ELSE -1.0 END END"]
+add("tech_rating", lambda s, d: rounded(ratings.tech_rating(weekly(s, d)), ["symbol", "dt"], 4),
+    bars_cte(f"{_OSC}, t AS (SELECT symbol, dt, {_MEAN_OF(_VOTES)} AS a, {_MEAN_OF(_WAVES)} AS b FROM q5 WHERE bk = 1) SELECT symbol, dt, {r('a', 'means', 4)}, {r('b', 'oscillators', 4)}, {r('(a + b) / 2', 'score', 4)}, CASE WHEN (a + b) / 2 >= 0.5 THEN 'strong buy' WHEN (a + b) / 2 >= 0.1 THEN 'buy' WHEN (a + b) / 2 > -0.1 THEN 'neutral' WHEN (a + b) / 2 > -0.5 THEN 'sell' ELSE 'strong sell' END AS label FROM t"))
+_HELD = lambda x: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, 0), 100) END"
+_PART = "CASE WHEN {0} IS NOT NULL THEN {1} ELSE 0 END"
+_WEIGHTS = (("p1", 0.25), ("p2", 0.2), ("p3", 0.2), ("p4", 0.15), ("p5", 0.1), ("p6", 0.1))
+add("strength", lambda s, d: rounded(ratings.strength(weekly(s, d)), ["symbol"], 3),
+    bars_cte(f"{_OSC}, h AS (SELECT *, close / lag(close, 125) {_S} - 1 AS r125, close / lag(close, 63) {_S} - 1 AS r63, {full('close', 20, f'min(close) {over(20)}')} AS lo, {full('close', 20, f'max(close) {over(20)}')} AS hi FROM q4), k AS (SELECT *, max(r125) FILTER (bk = 1) OVER (PARTITION BY symbol) AS n125, max(r63) FILTER (bk = 1) OVER (PARTITION BY symbol) AS n63 FROM h), "
+             f"g AS (SELECT symbol, max(close) FILTER (bk = 1) AS c, max(m200) FILTER (bk = 1) AS m200, max(m50) FILTER (bk = 1) AS m50, CASE WHEN count(r125) >= 20 THEN avg((r125 <= n125)::INT) * 100 END AS p2, CASE WHEN count(r63) >= 20 THEN avg((r63 <= n63)::INT) * 100 END AS p4, max(rsi) FILTER (bk = 1) AS p5, max(lo) FILTER (bk = 1) AS lo, max(hi) FILTER (bk = 1) AS hi FROM k GROUP BY symbol), "
+             f"w AS (SELECT *, {_HELD('(50 + (c / m200 - 1) * 100)')} AS p1, {_HELD('(50 + (c / m50 - 1) * 250)')} AS p3, CASE WHEN hi > lo THEN {_HELD('((c - lo) / (hi - lo) * 100)')} ELSE 50 END AS p6 FROM g), z AS (SELECT symbol, ({' + '.join(f'coalesce({p} * {x}, 0)' for p, x in _WEIGHTS)}) / ({' + '.join(_PART.format(p, x) for p, x in _WEIGHTS)}) AS st FROM w) "
+             f"SELECT symbol, {r('st', 'strength', 3)}, CASE WHEN st >= 80 THEN 'very strong' WHEN st >= 60 THEN 'strong' WHEN st >= 40 THEN 'neutral' WHEN st >= 20 THEN 'weak' ELSE 'very weak' END AS label FROM z"))
+_LINE = lambda level: f"close + CASE WHEN {level / (100 - level)!r} * ad - au >= 0 THEN ({level / (100 - level)!r} * ad - au) * 13 ELSE ({level / (100 - level)!r} * ad - au) * 13 / {level / (100 - level)!r} END"
+add("rsi_isolines", lambda s, d: rounded(ratings.rsi_isolines(weekly(s, d)).select("symbol", "dt", "rsi_price_30", "rsi_price_70"), ["symbol", "dt"], 4), bars_cte(f"{_OSC} SELECT symbol, dt, {r(_LINE(30.0), 'rsi_price_30', 4)}, {r(_LINE(70.0), 'rsi_price_70', 4)} FROM q3"))
 _TR = f"tr AS (SELECT *, row_number() {_S} AS i, CASE WHEN lag(close) {_S} IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) {_S}), abs(low - lag(close) {_S})) END AS tr FROM bars)"
 _Y = "OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
 _LEVELS = f"""{_TR}, ew AS (SELECT *, pow(13 / 14.0::DOUBLE, i - 1) * sum(CASE WHEN i = 1 THEN tr ELSE tr / 14 * pow(13 / 14.0::DOUBLE, 1 - i) END) {_RUN} AS atr FROM tr),
